@@ -12,6 +12,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.token_counts import length_histogram, suffix_sums
+
+    return suffix_sums(length_histogram(_table(spark, sf_dir, "documents")))
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm._shared import new_path
+    from corpusloom.llm.training_order import read, write
+
+    folder = new_path(spark, "training-order")
+    if not write(_table(spark, sf_dir, "documents"), folder):
+        return spark.createDataFrame([], "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long")
+    return read(spark, folder).drop("ids")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.simhash_dedup import near_duplicates
 
