@@ -36,6 +36,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"
+    )
+
+
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm._shared import new_path
     from corpusloom.llm.training_order import read, write
