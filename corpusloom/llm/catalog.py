@@ -60,6 +60,12 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, folder).drop("ids")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.simhash_dedup import near_duplicates
 
