@@ -50,6 +50,12 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def kept_rows(df: DataFrame, condition) -> DataFrame:
+    """df.where(condition), tested after the columns are computed: a filter that moves below
+    them would repeat their expressions, even for each element of an array."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) & condition).drop("_row")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._shared import kept_rows
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: At most this share of a kept document's characters may stand in lines that fail.
@@ -110,7 +112,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines that fail; n_chars follows the text."""
-    df = judge(docs).where("kept").withColumn("text", F.col("clean_text"))
+    df = kept_rows(judge(docs), F.col("kept")).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
