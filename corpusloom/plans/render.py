@@ -23,8 +23,14 @@ def markdown(title: Column, texts: Column) -> Column:
 
 
 def _two(x: Column) -> Column:
-    """Two decimals of the exact binary value."""
-    return F.round(x.cast("decimal(38,18)"), 2).cast("decimal(30,2)").cast("string")
+    """Two decimals of the exact binary value of x >= 0, ties to even: a cast to decimal would
+    round the shortest text of the number instead. 2**52 parts of one are counted."""
+    one = 1 << 52
+    whole = F.floor(x).cast("long")
+    n = ((x - whole) * F.lit(float(one))).cast("long") * 100
+    q, r = F.shiftright(n, 52), n.bitwiseAND(F.lit(one - 1).cast("long"))
+    cents = whole * 100 + q + F.when((r > one // 2) | ((r == one // 2) & (q % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
 def transcript(fields: dict[str, Column], title: Column, cues: Column) -> Column:
