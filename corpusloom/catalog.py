@@ -483,3 +483,104 @@ def wer_scores(benchmark):
     """Each item against itself with every fifth word gone; no SQL counts alignments by kind."""
     heard = F.array_join(F.filter(F.split("text", " "), lambda x, i: i % 5 != 4), " ")
     return word_errors.scored(benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("reference"), heard.alias("heard")))
+
+
+# Deliveries, packets and transcripts
+
+
+@_query("documents", sql="SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'name' WHEN doc_id % 3 = 0 THEN 'digest' END AS error FROM documents")
+def delivery_check(documents):
+    from corpusloom.operators.deliveries import delivery_error
+
+    k, capture = F.col("doc_id"), F.col("doc_id").cast("string")
+    name = F.when(k % 5 == 0, F.lit("other.md")).otherwise(digests.file_name(capture))
+    sha = F.sha2(F.when(k % 3 == 0, F.lit("x")).otherwise(F.col("text")), 256)
+    return documents.select("doc_id", delivery_error(capture, name, F.col("text"), sha).alias("error"))
+
+
+@_query("orders", sql="SELECT o_orderkey, CASE WHEN s IN (200, 201) AND o_orderkey % 2 = 0 THEN 'complete' WHEN NOT s BETWEEN 200 AND 299 AND o_orderkey % 3 = 0 THEN 'server_error' ELSE 'protocol_error' END AS outcome FROM (SELECT o_orderkey, [200, 201, 204, 409, 503][1 + o_orderkey % 5] AS s FROM orders)")
+def submission_outcomes(orders):
+    from corpusloom.operators.deliveries import submission_outcome
+
+    k = F.col("o_orderkey")
+    status = F.get(F.array(*map(F.lit, (200, 201, 204, 409, 503))), (k % 5).cast("int"))
+    return orders.select("o_orderkey", submission_outcome(status, k % 2 == 0, k % 3 == 0).alias("outcome"))
+
+
+@_query("orders", "lineitem", "part", sql="SELECT l_orderkey AS delivery_id, l_linenumber, CASE WHEN p_size IS NULL THEN 'missing' WHEN p_size <> CAST(l_quantity AS INT) THEN 'size' END AS fault FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_size > 10) ON p_partkey = l_partkey WHERE o_orderstatus = 'F'")
+def delivery_attachments(orders, lineitem, part):
+    from corpusloom.operators.deliveries import attachments
+
+    deliveries = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("delivery_id"))
+    assets = lineitem.select(F.col("l_orderkey").alias("delivery_id"), "l_linenumber", F.col("l_partkey").alias("digest"), F.col("l_quantity").cast("int").alias("size"))
+    return attachments(deliveries, assets, part.where("p_size > 10").select(F.col("p_partkey").alias("digest"), F.col("p_size").alias("length"))).select("delivery_id", "l_linenumber", "fault")
+
+
+@_query(
+    "events",
+    sql="WITH e AS (SELECT user_id, epoch_us(ts) AS pts, epoch_us(ts) + 10 AS e, event_id FROM events), g AS (SELECT *, pts - lag(pts) OVER w AS step, abs(pts - lag(e) OVER w) AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pts, event_id)) SELECT user_id, coalesce(bool_and(step > 0), true) AS rising, coalesce(bool_and(gap <= 1e12), true) AS gaps_ok, abs(min(pts) - 1.7e15) <= 1e13 AS starts_ok, abs(max(e) - 1.7e15) <= 1e13 AS ends_ok, count(*) AS frames FROM g GROUP BY 1",
+)
+def stream_timelines(events):
+    packets = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pts")).withColumn("end", F.col("pts") + 10)
+    faults = timeline.stream_faults(packets, ["user_id"], ["pts", "event_id"], 1.7e15, 1.7e15, gap=1e12, first=1e13, last=1e13)
+    return faults.join(packets.groupBy("user_id").agg(F.count("*").alias("frames")), "user_id")
+
+
+@_query("conversations", sql="SELECT conv_id, CASE WHEN bool_or(turn = 3) THEN 'duration' WHEN conv_id % 2 = 1 THEN 'outcome' END AS error FROM conversations GROUP BY conv_id")
+def transcript_check(conversations):
+    from corpusloom.operators.deliveries import transcript_error
+
+    cue = F.struct(F.col("turn").alias("at"), F.col("text").alias("text"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"))
+    df = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    long = F.exists("cues", lambda c: c["at"] == 3)
+    outcome = F.when((F.col("conv_id") % 2 == 1) & ~long, "silence").otherwise("speech")
+    return df.select("conv_id", transcript_error(outcome, F.col("cues"), F.lit(3.0)).alias("error"))
+
+
+@_query("lineitem", sql="SELECT l_orderkey, l_linenumber, table_index, row_index FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS table_index, dense_rank() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) - 1 AS row_index FROM lineitem) WHERE l_linestatus = 'O'")
+def table_numbering(lineitem):
+    from corpusloom.operators.deliveries import table_rows
+
+    text = F.when(F.col("l_linestatus") == "O", "x").otherwise(" ")
+    return table_rows(lineitem.withColumn("_t", text), ["l_orderkey"], "l_returnflag", "l_linenumber", "_t").select("l_orderkey", "l_linenumber", F.col("table_index").cast("long").alias("table_index"), F.col("row_index").cast("long").alias("row_index"))
+
+
+@_query("events", sql="SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 50 AS accepted FROM events")
+def client_history(events):
+    from corpusloom.operators.deliveries import client_history as accepted
+
+    return accepted(events.select("user_id", "event_id"), ["user_id"], "event_id").select("event_id", "accepted")
+
+
+@_query("orders", sql="SELECT o_orderkey AS delivery_id, CASE WHEN o_orderkey % 3 = 0 THEN 'acknowledge' WHEN o_orderkey % 3 = 1 THEN 'conflict' ELSE 'write' END AS action FROM orders")
+def receiver_journal(orders):
+    from corpusloom.operators.deliveries import new_for_receiver
+
+    sha = F.sha2(F.col("o_orderstatus"), 256)
+    journal = orders.where("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("delivery_id"), F.when(F.col("o_orderkey") % 3 == 0, sha).otherwise("x").alias("sha256"))
+    return new_for_receiver(orders.select(F.col("o_orderkey").alias("delivery_id"), sha.alias("sha256")), journal).select("delivery_id", "action")
+
+
+@_query("part", sql="SELECT p_partkey, greatest(1, CAST(floor(w * s) AS INT)) AS width, greatest(1, CAST(floor(h * s) AS INT)) AS height FROM (SELECT *, least(1.0::DOUBLE, 1024::DOUBLE / greatest(w, h)) AS s FROM (SELECT p_partkey, CAST(p_size * 100 AS INT) AS w, CAST(p_partkey % 900 + 1 AS INT) AS h FROM part))")
+def fitted_sizes(part):
+    size = numbers.fitted((F.col("p_size") * 100).cast("int"), (F.col("p_partkey") % 900 + 1).cast("int"), 1024)
+    return part.select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@_query("lineitem", sql="SELECT l_orderkey, l_linenumber, round(CAST(l_partkey AS DOUBLE) * 1001 / 30000, 6) AS seconds FROM lineitem")
+def frame_seconds(lineitem):
+    return lineitem.select("l_orderkey", "l_linenumber", F.round(numbers.seconds(F.col("l_partkey"), F.lit(1001), F.lit(30000)).cast("double"), 6).alias("seconds"))
+
+
+@_query("conversations", sql="SELECT conv_id, list(turn + 2 ORDER BY turn) AS starts FROM conversations GROUP BY 1")
+def shifted_cues(conversations):
+    cue = F.struct(F.col("turn").alias("at"), F.col("text").alias("text"), F.col("turn").alias("start"), F.col("turn").alias("end"))
+    df = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    return df.select("conv_id", F.transform(timeline.shifted(F.col("cues"), F.lit(2)), lambda c: c["start"]).alias("starts"))
+
+
+@_query("conversations", sql="SELECT conv_id, concat('---', chr(10), 'id: \"', CAST(conv_id AS VARCHAR), '\"', chr(10), '---', chr(10), chr(10), '# T', chr(10), chr(10), string_agg(concat('[', CAST(turn AS VARCHAR), '.00 - ', CAST(turn AS VARCHAR), '.50 sec] ', text), chr(10) ORDER BY turn)) AS markdown FROM conversations GROUP BY 1")
+def transcript_render(conversations):
+    cue = F.struct(F.col("turn").alias("at"), F.col("text").alias("text"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"))
+    df = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
+    return df.select("conv_id", render.transcript({"id": F.col("conv_id").cast("string")}, F.lit("T"), F.col("cues")).alias("markdown"))

@@ -58,3 +58,54 @@ def test_blank_differs(spark):
 def test_utf8(spark):
     rows = spark.createDataFrame([(b"ok",), (b"\xff",), (b"",), (b" \n",)], "c binary").select(tx.decode_utf8(F.col("c")).alias("r")).select("r.*").collect()
     assert [(r.text, r.error) for r in rows] == [("ok", None), (None, "invalid_utf8"), (None, "empty"), (None, "blank")]
+
+
+def test_table_functions(spark):
+    from corpusloom.functions.sql import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("select * from visible_html('<title>t</title><p>a</p><p>b</p>')").collect()] == [("a\n\nb", "t")]
+    rows = spark.sql("select c.text, c.end from values ('<transcript><text start=\"1\" dur=\"2\">x</text></transcript>') v(x), lateral caption_cues(x) c").collect()
+    assert [tuple(r) for r in rows] == [("x", 3.0)]
+
+
+def test_receiver_writes_once(spark, tmp_path):
+    from corpusloom.functions.digests import file_name
+    from corpusloom.streaming.receiver import receive
+
+    rows = spark.createDataFrame([("d1", "c1", "m"), ("d2", "c2", "n")], "delivery_id string, capture_id string, markdown string")
+    good = rows.select("delivery_id", "capture_id", file_name(F.col("capture_id")).alias("name"), "markdown", F.sha2("markdown", 256).alias("sha256"))
+    bad = good.withColumn("delivery_id", F.concat(F.lit("x"), "delivery_id")).withColumn("sha256", F.lit("0"))
+    for _ in range(2):
+        receive(good.union(bad), f"file://{tmp_path}/r")
+    assert spark.read.parquet(f"file://{tmp_path}/r/notes").count() == 2
+    assert spark.read.parquet(f"file://{tmp_path}/r/journal").count() == 2
+
+
+def test_lease_stream(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    events = [("d", "claim", "a", 0), ("d", "claim", "b", 60), ("d", "claim", "a", 100), ("d", "claim", "b", 130), ("d", "ack", "a", 140), ("d", "ack", "b", 150), ("d", "ack", "b", 900), ("d", "claim", "a", 901)]
+    (inbox / "a.json").write_text("\n".join(json.dumps(dict(zip(("delivery_id", "action", "claim_id", "at"), e, strict=True))) for e in events))
+    stream = spark.readStream.schema("delivery_id string, action string, claim_id string, at long").json(str(inbox))
+    run = captures.lease_states(stream).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [r.outcome for r in spark.table("leases").orderBy("at").collect()] == ["claimed", "lease_active", "unchanged", "claimed", "wrong_claim", "delivered", "delivered", "delivery_terminal"]
+
+
+def test_store(spark, tmp_path):
+    import pytest
+
+    from corpusloom.sources import store
+
+    path = f"file://{tmp_path}/raw"
+    for words in (["a", "b", "a"], ["b", "c"]):
+        store.put(spark.createDataFrame([(w.encode(),) for w in words], "content binary"), path)
+    held = spark.read.parquet(path)
+    assert held.count() == 3
+    one = held.where(F.col("content") == b"b").first()
+    assert store.get(spark, path, f"sha256:{one.digest}").count() == 1
+    refs = spark.createDataFrame([(f"sha256:{one.digest}",), (f"sha256:{'0' * 64}",)], "ref string")
+    assert sorted(r.stored for r in store.present(refs, held).collect()) == [False, True]
+    with pytest.raises(Exception, match="malformed reference"):
+        store.present(spark.createDataFrame([("md5:x",)], "ref string"), held).collect()
