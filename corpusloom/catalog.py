@@ -584,3 +584,48 @@ def transcript_render(conversations):
     cue = F.struct(F.col("turn").alias("at"), F.col("text").alias("text"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"))
     df = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
     return df.select("conv_id", render.transcript({"id": F.col("conv_id").cast("string")}, F.lit("T"), F.col("cues")).alias("markdown"))
+
+
+# Recognition and video notes
+
+
+@_query("part", sql="SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'not_requested' WHEN p_partkey % 3 = 0 THEN 'skipped' WHEN p_size > 25 THEN 'text' ELSE 'empty' END AS status, CASE WHEN p_size * 1000000 > 20000000 THEN 'pixels' END AS beyond FROM part")
+def ocr_status(part):
+    from corpusloom.operators import recognition
+
+    k = F.col("p_partkey")
+    status = recognition.ocr_status(k % 4 != 0, k % 3 == 0, F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(" "))
+    return part.select("p_partkey", status.alias("status"), recognition.ocr_limit(F.col("p_size") * 1000000, F.col("p_size")).alias("beyond"))
+
+
+@_query("nation", sql="SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN concat('{\"id\":', CAST(n_nationkey AS VARCHAR), '}') ELSE concat('{\"id\":', CAST(n_nationkey AS VARCHAR), ',\"title\":\"', n_name, '\"}') END AS json FROM nation")
+def record_versions(nation):
+    from corpusloom.operators.recognition import record_json
+
+    version = F.when(F.col("n_regionkey") == 0, "0.1").otherwise("0.3")
+    return nation.select("n_nationkey", record_json(version, {"id": F.col("n_nationkey")}, {"title": F.col("n_name")}).alias("json"))
+
+
+@_query("orders", sql="SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus <> 'F' WHEN 1 THEN false WHEN 2 THEN o_orderstatus = 'F' ELSE false END AS ok FROM orders")
+def receipt_invariants(orders):
+    from corpusloom.operators.recognition import job_invariants
+
+    k = F.col("o_orderkey") % 4
+    state = F.get(F.array(*map(F.lit, ("queued", "running", "complete", "lost"))), k.cast("int"))
+    done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+    return orders.select("o_orderkey", job_invariants(state, F.lit(None).cast("timestamp"), done, F.lit(None).cast("string")).alias("ok"))
+
+
+@_query(
+    "events",
+    "conversations",
+    sql="WITH f AS (SELECT user_id AS id, epoch_us(ts) AS us, event_id FROM events), s AS (SELECT id, min(us) AS a, max(us) AS z FROM f GROUP BY 1), t AS (SELECT id, a + (z - a) * q AS target FROM s, (VALUES (0.25), (0.5), (0.75)) v(q)), k AS (SELECT DISTINCT t.id, arg_min(f.event_id, {'u': f.us, 'e': f.event_id}) AS event_id FROM t JOIN f ON f.id = t.id AND f.us >= t.target GROUP BY t.id, t.target), c AS (SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY 1) SELECT s.id, coalesce(max(c.n), 0) + count(k.event_id) FILTER (WHERE k.event_id % 2 = 0) AS segments, count(k.event_id) AS keyframes FROM s LEFT JOIN c USING (id) LEFT JOIN k USING (id) GROUP BY s.id",
+)
+def video_notes(events, conversations):
+    from corpusloom.plans.video import notes
+
+    frames = events.select(F.col("user_id").alias("id"), F.col("event_id").alias("frame_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    cues = conversations.select(F.col("conv_id").alias("id"), "text", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"))
+    about = events.where("event_id % 2 = 0").select(F.col("event_id").alias("frame_id"), F.col("event_type").alias("text"))
+    videos = frames.select("id").distinct().withColumn("offset", F.lit(0.5))
+    return notes(videos, cues, frames, about).select("id", F.size("segments").cast("long").alias("segments"), F.size("keyframes").cast("long").alias("keyframes"))

@@ -109,3 +109,26 @@ def test_store(spark, tmp_path):
     assert sorted(r.stored for r in store.present(refs, held).collect()) == [False, True]
     with pytest.raises(Exception, match="malformed reference"):
         store.present(spark.createDataFrame([("md5:x",)], "ref string"), held).collect()
+
+
+def test_answers(spark):
+    from corpusloom.operators.recognition import answers
+
+    given = ['{"status":"described","description":"a cat"}', '{"status":"refused"}', '{"status":"refused","status":"described"}', "[]", None, '{"status":"described","description":" "}', '{"status":"x"}', '{"status":"unclear","n":NaN}']
+    rows = answers(spark.createDataFrame(list(enumerate(given)), "id long, answer string")).orderBy("id").collect()
+    assert [(r.status, r.description, r.error) for r in rows] == [
+        ("described", "a cat", None), ("refused", None, None), (None, None, "repeated_key"), (None, None, "not_an_object"), (None, None, "not_json"), (None, None, "description"), (None, None, "status"), (None, None, "not_a_number"),
+    ]
+
+
+def test_video_markdown(spark):
+    from corpusloom.plans.video import markdown, notes
+
+    videos = spark.createDataFrame([(1, 0.5), (2, 0.0)], "id long, offset double")
+    cues = spark.createDataFrame([(1, "hi", 0.0, 1.0)], "id long, text string, start double, end double")
+    frames = spark.createDataFrame([(1, k, float(k)) for k in range(9)], "id long, frame_id long, at double")
+    about = spark.createDataFrame([(4, "a tree")], "frame_id long, text string")
+    rows = notes(videos, cues, frames, about).withColumn("md", markdown({"id": F.col("id").cast("string")}, F.lit("T"), F.col("segments"), F.col("keyframes"))).orderBy("id").collect()
+    assert [k.id for k in rows[0].keyframes] == ["2", "4", "6"] and [s.type for s in rows[0].segments] == ["transcript", "visual"]
+    assert "[0.50 - 1.50 sec] hi" in rows[0].md and "a tree" in rows[0].md
+    assert rows[1].segments == [] and rows[1].md == '---\nid: "2"\n---\n\n# T'
