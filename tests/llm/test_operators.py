@@ -387,6 +387,7 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame([(*r, 0, "k") for r in rows] + [(None, "Shared line", 0, "k")], "doc_id long, text string, line int, key string")
     known = {r.key: r.fp for r in signatures(lines(docs, "doc_id", "text")).collect()}
     assert len(known) == 5
+    assert known == {r.key: r.fp for r in signatures(lines(docs, "doc_id", "text"), lanes=1).collect()}
     out = {r.doc_id: r for r in dedup(docs).collect()}
     linked = any(bin((a ^ b) % (1 << 64)).count("1") <= 3 for a in known.values() for b in known.values() if a != b)
     assert _edit(base[:0], "") == 0 and out[1].text == rows[1][1] and out[None].text == "Shared line"
@@ -399,6 +400,26 @@ def test_line_dedup(spark):
     assert removals(docs.limit(0)).count() == 0 and dedup(docs.limit(0)).count() == 0
 
 
+def test_similarity_bound(spark):
+    """The bound never says so of lines that aren't similar."""
+    from corpusloom.llm.line_dedup import surely_similar
+
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(300):
+        a = prose(rng, rng.randrange(1, 30)).split(" ")
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(2)] = prose(rng, rng.randrange(1, 4)).split(" ")[: rng.randrange(3)]
+            b = b or ["x"]
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs += [("a", "a b"), ("a a a", "a a"), ("a", "a"), ("x y", "y x")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(surely_similar(F.col("a"), F.col("b"))).collect()]
+    true = [_edit(a, b) <= 0.2 * max(len(a), len(b)) for a, b in pairs]
+    assert all(t for g, t in zip(got, true, strict=True) if g) and sum(got) > 0.5 * sum(true)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
