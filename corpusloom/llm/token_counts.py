@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm._shared import stored
 from corpusloom.llm.tokens import default_path, token_counts
 
 #: Lengths in a block of the two-level suffix sums: sums over blocks are few, and a block is short.
@@ -29,7 +30,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Adds to each length: docs_longer and tokens_longer (of documents with more tokens),
     total_docs, total_tokens, truncated_tokens (of all documents cut to this length) and
     share_not_longer (the quantile at which this length stands)."""
-    h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # it is met twice, and finding it means encoding all texts
+    h = stored(histogram, "length-histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
