@@ -57,7 +57,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "training-order")
     if not write(_table(spark, sf_dir, "documents"), folder):
         return spark.createDataFrame([], "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long")
-    return read(spark, folder).drop("ids")
+    return read(spark, folder, with_ids=False)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps at most of the ids of frequent words; the store is emptied beyond.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 #: White space other than the space and the line feed.
 OTHER_SPACE = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　")
@@ -33,12 +33,17 @@ class _Ids(dict):
 
     def __init__(self, encode, piece, prefix: str):
         self.encode, self.piece, self.prefix = encode, piece, prefix
+        self.marks = {x: piece(x) for x in (".", ",")}
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
             found = self.piece(self.prefix + word)
-        elif word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self[word[:-1]] + self.piece(word[-1])
+        elif (mark := self.marks.get(word[-1:])) and (core := word[:-1]).isalpha():
+            # a full stop or comma after letters is a token of its own
+            known = self.get(core)
+            if known is None:
+                return self.piece(self.prefix + core) + mark
+            found = known + mark
         else:
             found = self.encode(self.prefix + word)
         if len(self) >= CACHED_WORDS:

@@ -81,22 +81,24 @@ def _records(docs: DataFrame, path: str, length: int, first: dict[int, tuple[int
         own, layout = encoder(path), _layout(path, length)
         index, count = first.get(TaskContext.get().partitionId(), (0, 0))
         for batch in batches:
-            made = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(own.encode(text.as_py()), own.dtype)
-                parts = -(-len(ids) // length)
-                block = np.zeros(parts, layout)
-                padded = np.zeros(parts * length, own.dtype)
-                padded[: len(ids)] = ids
-                block["doc_id"], block["part"], block["ids"], block["end"] = -1 if doc_id is None else doc_id, np.arange(parts), padded.reshape(parts, length), 10
-                block["n"] = np.minimum(length, len(ids) - length * np.arange(parts))
-                made.append(block)
-            block = np.concatenate(made) if made else np.zeros(0, layout)
+            size = own.dtype.itemsize
+            encoded = [own.encode(x.as_py()) for x in batch.column(1)]
+            n_ids = np.array([len(x) // size for x in encoded], np.int64)
+            parts = -(-n_ids // length)
+            block = np.zeros(parts.sum(), layout)
+            padded = b"".join([x.ljust(int(k) * length * size, b"\0") for x, k in zip(encoded, parts, strict=True)])
+            block["ids"] = np.frombuffer(padded, own.dtype).reshape(-1, length)
+            block["doc_id"] = np.repeat(batch.column(0).fill_null(-1).to_numpy(), parts)
+            block["part"] = np.arange(len(block)) - np.repeat(np.cumsum(parts) - parts, parts)
+            block["n"] = np.minimum(length, np.repeat(n_ids, parts) - length * block["part"].astype(np.int64))
+            block["end"] = 10
             slots = permuted(np.arange(index, index + len(block)), n, key)
             index, count = index + len(block), count - len(block)
             # the writer ends each record with the line feed
-            raw, stride = block.tobytes(), layout.itemsize
-            records = pa.array([raw[a : a + stride - 1] for a in range(0, len(raw), stride)], pa.binary())
+            stride = layout.itemsize
+            raw = np.frombuffer(block.tobytes(), np.uint8).reshape(-1, stride)[:, :-1].tobytes()
+            ends = np.arange(len(block) + 1, dtype=np.int32) * (stride - 1)
+            records = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([pa.array(slots // shard_records, pa.int64()), pa.array(slots, pa.int64()), records], names=["shard", "slot", "record"])
         if count:
             raise RuntimeError("the rows were dealt to tasks otherwise than when they were counted; store the table before")
@@ -142,10 +144,12 @@ def write(docs: DataFrame, folder: str, key: int = 20_240_229, path: str | None
     return n
 
 
-def read(spark: SparkSession, folder: str, path: str | None = None, length: int = SEQUENCE_TOKENS, shard_records: int = SHARD_RECORDS, start: int = 0) -> DataFrame:
-    """(slot, shard, doc_id, part, n_tokens, ids_crc32, ids) of the records from slot start on:
-    shards before it aren't opened, records before it are passed over by their stride."""
+def read(spark: SparkSession, folder: str, path: str | None = None, length: int = SEQUENCE_TOKENS, shard_records: int = SHARD_RECORDS, start: int = 0, with_ids: bool = True) -> DataFrame:
+    """(slot, shard, doc_id, part, n_tokens, ids_crc32) and, if asked for, ids, of the records
+    from slot start on: shards before it aren't opened, records before it are passed over by their stride."""
     path = path or default_path()
+    kinds = "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -169,10 +173,10 @@ def read(spark: SparkSession, folder: str, path: str | None = None, length: int
                             pa.array(some["part"], pa.int32()),
                             pa.array(some["n"], pa.int32()),
                             pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                            pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32())),
+                            *([pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))] if with_ids else []),
                         ],
-                        names=["slot", "shard", "doc_id", "part", "n_tokens", "ids_crc32", "ids"],
+                        names=names,
                     )
 
     files = spark.read.format("binaryFile").load(folder).select(F.col("shard").cast("long").alias("shard"), "content")
-    return files.where(F.col("shard") >= start // shard_records).mapInArrow(run, "slot long, shard long, doc_id long, part int, n_tokens int, ids_crc32 long, ids array<int>")
+    return files.where(F.col("shard") >= start // shard_records).mapInArrow(run, kinds)
