@@ -7,8 +7,8 @@ base limits that reject a document whatever its lines are.
 
 Everything is computed within a row, so no row is shuffled and no text meets another. Null
 texts count as without words. An empty text fails the base limits. Lines without a word are
-neither kept nor lost. Repeated rows are judged each. The functions read the column text and
-put their own columns beside those given, under names that start with an underscore in between.
+neither kept nor lost. Repeated rows are judged each. The functions read the column text;
+judge() puts its columns beside those given, in the place of any of the same name.
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without the lines that fail; n_chars follows the text."""
-    df = kept_rows(judge(docs), F.col("kept")).withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    """The documents that are kept, without the lines that fail; n_chars follows the text, all
+    other columns are as given, whatever their names."""
+    df = kept_rows(judge(docs.select(F.struct(*docs.columns).alias("_in"), "text")), F.col("kept"))
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text")}
+    return df.select(*[new.get(f.name, F.col(f"_in.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema])

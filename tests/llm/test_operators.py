@@ -437,6 +437,28 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-dedup", "decontamination", "packing"]
 
 
+def test_clashing_names_and_null_ids(spark):
+    """Columns named as an operator's own come through the stages, and rows without an id do no harm."""
+    from corpusloom.llm import decontamination, line_dedup, packing, quality_rules, simhash_dedup
+    from corpusloom.llm.secret_scan import scan
+    from corpusloom.llm.token_counts import length_histogram
+    from corpusloom.llm.training_order import read, write
+    from corpusloom.llm._shared import new_path
+
+    names = "kept n_words n_lines n_removed _row fp component_id node key gone item_id start shard window clean_text _in".split()
+    rng = random.Random(2)
+    rows = [(i if i else None, prose(rng, 80) + f". {i}.", *[f"{c}{i}" for c in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    bench = spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string")
+    want = sorted(map(str, docs.collect()))
+    for out in (quality_rules.clean(docs), line_dedup.clean(docs), simhash_dedup.keep_one(docs), decontamination.clean(docs, bench)):
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == want
+    assert {r.doc_id for r in packing.pack(docs).collect()} == {None, 1, 2, 3}
+    assert simhash_dedup.near_duplicates(docs).count() == 4 and scan(docs).count() == 0 and length_histogram(docs).agg(F.sum("n_docs")).first()[0] == 4
+    folder = new_path(spark, "order")
+    assert write(docs, folder) == read(spark, folder).count() >= 4
+
+
 def test_oracles(spark):
     """Queries of this part that SQL can express give DuckDB's rows."""
     import duckdb
