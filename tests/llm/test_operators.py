@@ -400,6 +400,26 @@ def test_line_dedup(spark):
     assert removals(docs.limit(0)).count() == 0 and dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_reach(spark):
+    """Lines of 6 to 80 words with up to a fifth of the words replaced are linked, if similar."""
+    from corpusloom.llm.line_dedup import dedup
+
+    rng = random.Random(21)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    rows, similar = [], set()
+    for i in range(120):
+        a = [word(rng.randrange(2, 9)) for _ in range(rng.randrange(6, 81))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), rng.randrange(1, len(a) // 5 + 1)):
+            b[at] = word(len(a[at]))
+        a, b = " ".join(a), " ".join(b)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if _edit(a, b) <= 0.2 * max(len(a), len(b)):
+            similar.add(2 * i + 1)
+    out = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_removed} == similar and len(similar) > 90
+
+
 def test_similarity_bound(spark):
     """The bound never says so of lines that aren't similar."""
     from corpusloom.llm.line_dedup import surely_similar
