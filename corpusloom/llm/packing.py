@@ -26,8 +26,6 @@ from corpusloom.llm.tokens import default_path, encoder
 
 #: Ids of a shard, about.
 SHARD_TOKENS = 1_000_000
-#: The rarest ids of a seed ask the index. Ids that most remainders hold tell little of them.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 
@@ -98,13 +96,11 @@ class Index:
         self.at = np.append(self.at, len(term))
 
     def neighbours(self, seed: int, unused):
-        """The unused documents by falling score (ties: by their order), those without a shared id left out."""
+        """The unused documents by falling score over all different ids of the seed (ties: by
+        their order), those without a shared id left out."""
         import numpy as np
 
-        asked = self.terms[seed]
-        if len(asked) > QUERY_TERMS:
-            asked = asked[np.argpartition(-self.weights[asked], QUERY_TERMS)[:QUERY_TERMS]]
-        where = np.searchsorted(self.known, asked)
+        where = np.searchsorted(self.known, self.terms[seed])
         spans = list(zip(self.at[where].tolist(), self.at[where + 1].tolist(), strict=True))
         total = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.score[a:b] for a, b in spans]), self.n)
         total[~unused] = 0

@@ -158,6 +158,28 @@ def test_packing_prefers_neighbours():
     assert sum(p[2] for p in pieces) == 2400 and same[1] >= 5
 
 
+def test_neighbours_by_all_ids():
+    """Scores are those of BM25 over all different ids of the seed."""
+    import numpy as np
+
+    from corpusloom.llm.packing import B, K1, Index
+
+    rng = np.random.default_rng(1)
+    docs = [rng.choice(400, rng.integers(50, 200)).astype("<u2") for _ in range(60)]
+    weights, mean = rng.random(400) + 0.1, float(np.mean([len(x) for x in docs]))
+    index = Index(docs, weights, mean)
+    for seed in range(10):
+        want = np.zeros(60)
+        for k, x in enumerate(docs):
+            for i in set(docs[seed].tolist()) & set(x.tolist()):
+                tf = int((x == i).sum())
+                want[k] += weights[i] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
+        unused = np.arange(60) != seed
+        got = index.neighbours(seed, unused)
+        assert set(got.tolist()) == {k for k in range(60) if want[k] > 0 and k != seed}
+        assert np.all(np.diff(want[got]) <= 1e-9)
+
+
 def test_token_counts(docs, texts, empty, spark):
     from corpusloom.llm.token_counts import length_histogram, quantile, suffix_sums, truncated_totals
     from corpusloom.llm.tokens import Encoder, default_path
