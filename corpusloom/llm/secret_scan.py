@@ -64,7 +64,7 @@ def _tables():
 def _coverage(candidate: str) -> float:
     """The share of its characters that the longest dictionary words from each place on cover."""
     words, _ = _tables()
-    low, at, n = candidate.lower()[:400], 0, 0
+    low, at, n = candidate.lower(), 0, 0
     while at < len(low):
         for size in range(min(10, len(low) - at), 2, -1):
             if low[at : at + size] in words:

@@ -381,6 +381,13 @@ def test_secret_scan(spark):
     assert not got[4].is_secret and not got[5].is_secret and got[6].is_secret and not {2, 3} & set(got)
 
 
+def test_coverage_of_long_candidates():
+    from corpusloom.llm.secret_scan import DICTIONARY, _coverage
+
+    word = next(w for w in DICTIONARY if 3 <= len(w) <= 10)
+    assert _coverage("0" * 400 + word * 100) == len(word) * 100 / (400 + len(word) * 100)
+
+
 def _edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
