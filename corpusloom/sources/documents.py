@@ -118,10 +118,15 @@ def pdf_pages(content: bytes) -> tuple[str | None, list[str]]:
         if not m:
             return b""
         if b"/FlateDecode" in m[1]:
+            inflater = zlib.decompressobj()
             try:
-                return zlib.decompressobj().decompress(m[2], MOST_XML)
+                out = inflater.decompress(m[2], MOST_XML)
+                more = inflater.unconsumed_tail and inflater.decompress(inflater.unconsumed_tail, 1)
             except zlib.error:
                 raise ValueError("corrupt") from None
+            if more:
+                raise ValueError("too_large")
+            return out
         return m[2]
 
     def ref(source: bytes, key: bytes) -> list[int]:

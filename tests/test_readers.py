@@ -71,6 +71,21 @@ def _pdf(pages: list[str], title: str | None = None) -> bytes:
     return out + b"trailer << /Root 1 0 R" + (b" /Info 9 0 R" if title is not None else b"") + b" >>\n%%EOF"
 
 
+def test_pdf_too_large(monkeypatch):
+    import zlib
+
+    text = b"BT (" + b"a" * 500 + b") Tj ET"
+    packed = zlib.compress(text)
+    page = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream"
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page /Contents 4 0 R >>\nendobj\n4 0 obj\n" + page + b"\nendobj\n"
+    assert "a" * 500 in documents.pdf_pages(pdf)[1][0]
+    monkeypatch.setattr(documents, "MOST_XML", len(text))
+    assert "a" * 500 in documents.pdf_pages(pdf)[1][0]
+    monkeypatch.setattr(documents, "MOST_XML", 100)
+    with pytest.raises(ValueError, match="too_large"):
+        documents.pdf_pages(pdf)
+
+
 def test_pdf(spark):
     assert documents.pdf_pages(_pdf(["first", "", r"th\(i\)rd"], "Doc")) == ("Doc", ["first\n", "", "th(i)rd\n"])
     files = spark.createDataFrame([(1, _pdf(["a", "", "b"])), (2, b"no"), (3, _pdf([""])), (4, None)], "id long, content binary")
