@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import stored
-from corpusloom.llm.tokens import default_path, encoder
+from corpusloom.llm.tokens import default_path, encoder, portions
 
 #: Ids of a shard, about.
 SHARD_TOKENS = 1_000_000
@@ -39,18 +39,18 @@ def _encoded(docs: DataFrame, path: str, window: int, end_id: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        end = np.asarray([end_id], own.dtype).tobytes()
-        for batch in batches:
-            n, crcs, rest = [], [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(own.encode(text.as_py()) + end, own.dtype)
-                whole = len(ids) // window * window
-                n.append(len(ids))
-                crcs.append([crc(ids[a : a + window]) for a in range(0, whole, window)])
-                rest.append(ids[whole:].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "rest"]
-            )
+        for given in batches:
+            for batch in portions(given, given.column(1)):
+                ids, bounds = own.encode_all(batch.column(1))
+                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+                n, crcs, rest = np.diff(bounds), [], []
+                for a, k in zip(bounds.tolist(), n.tolist(), strict=False):
+                    whole = k // window * window
+                    crcs.append([crc(ids[x : x + window]) for x in range(a, a + whole, window)])
+                    rest.append(ids[a + whole : a + k].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "rest"]
+                )
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, doc_tokens long, crcs array<long>, rest binary")

@@ -11,8 +11,9 @@ A record: document's id (8 bytes), number of the sequence in the document (4), n
 little-endian. Spark's own writer makes the files (a line of text is bytes), so a lost
 executor leaves no half-written shard, and the folder may be in any store.
 
-Null and empty texts have no sequence. Rows with a null doc_id carry -1 in the record.
-Repeated rows have a sequence each. An empty table writes no file.
+Null and empty texts have no sequence. Ids are integers of any sign (other types are refused);
+a null one is NO_ID in the record and null again when it is read. Repeated rows have a sequence
+each. An empty table writes no file. Texts may be of any length: a batch is taken in portions.
 """
 
 from __future__ import annotations
@@ -24,12 +25,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from corpusloom.llm.tokens import default_path, encoder
+from corpusloom.llm.tokens import default_path, encoder, portions
 
 SEQUENCE_TOKENS = 256
-SHARD_RECORDS = 8192
+SHARD_RECORDS = 32768
 ROUNDS = 6
+#: What stands for a null id in a record.
+NO_ID = -(1 << 63)
+#: Tasks that write shards, at most; beyond, each writes several.
+WRITERS = 20_000
 
 
 def _mixed(half, key: int, round_: int, bits: int):
@@ -73,33 +79,37 @@ def _layout(path: str, length: int):
     return np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", encoder(path).dtype, (length,)), ("end", "u1")])
 
 
-def _records(docs: DataFrame, path: str, length: int, first: dict[int, tuple[int, int]], n: int, key: int, shard_records: int) -> DataFrame:
-    """(shard, slot, record) of all sequences. first: by task, its first index and its sequences."""
+def _records(docs: DataFrame, path: str, length: int, first, n: int, key: int, shard_records: int) -> DataFrame:
+    """(shard, slot, record) of all sequences. first: a broadcast (tasks, indices, counts): of
+    each task that has sequences its first index and how many they are."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, layout = encoder(path), _layout(path, length)
-        index, count = first.get(TaskContext.get().partitionId(), (0, 0))
-        for batch in batches:
-            size = own.dtype.itemsize
-            encoded = [own.encode(x.as_py()) for x in batch.column(1)]
-            n_ids = np.array([len(x) // size for x in encoded], np.int64)
-            parts = -(-n_ids // length)
-            block = np.zeros(parts.sum(), layout)
-            padded = b"".join([x.ljust(int(k) * length * size, b"\0") for x, k in zip(encoded, parts, strict=True)])
-            block["ids"] = np.frombuffer(padded, own.dtype).reshape(-1, length)
-            block["doc_id"] = np.repeat(batch.column(0).fill_null(-1).to_numpy(), parts)
-            block["part"] = np.arange(len(block)) - np.repeat(np.cumsum(parts) - parts, parts)
-            block["n"] = np.minimum(length, np.repeat(n_ids, parts) - length * block["part"].astype(np.int64))
-            block["end"] = 10
-            slots = permuted(np.arange(index, index + len(block)), n, key)
-            index, count = index + len(block), count - len(block)
-            # the writer ends each record with the line feed
-            stride = layout.itemsize
-            raw = np.frombuffer(block.tobytes(), np.uint8).reshape(-1, stride)[:, :-1].tobytes()
-            ends = np.arange(len(block) + 1, dtype=np.int32) * (stride - 1)
-            records = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(slots // shard_records, pa.int64()), pa.array(slots, pa.int64()), records], names=["shard", "slot", "record"])
+        tasks, indices, counts = first.value
+        at = int(np.searchsorted(tasks, task := TaskContext.get().partitionId()))
+        index, count = (int(indices[at]), int(counts[at])) if at < len(tasks) and tasks[at] == task else (0, 0)
+        for whole in batches:
+            for batch in portions(whole, whole.column(1)):
+                ids, bounds = own.encode_all(batch.column(1))
+                n_ids = np.diff(bounds)
+                parts = -(-n_ids // length)
+                starts = np.cumsum(parts) - parts
+                padded = np.zeros(parts.sum() * length, own.dtype)
+                padded[np.arange(len(ids)) + np.repeat(starts * length - bounds[:-1], n_ids)] = ids
+                block = np.zeros(parts.sum(), layout)
+                block["ids"] = padded.reshape(-1, length)
+                block["doc_id"] = np.repeat(batch.column(0).fill_null(NO_ID).to_numpy(), parts)
+                block["part"] = np.arange(len(block)) - np.repeat(starts, parts)
+                block["n"] = np.minimum(length, np.repeat(n_ids, parts) - length * block["part"].astype(np.int64))
+                slots = permuted(np.arange(index, index + len(block)), n, key)
+                index, count = index + len(block), count - len(block)
+                # the writer ends each record with the line feed
+                stride = layout.itemsize - 1
+                raw = np.ascontiguousarray(block.view(np.uint8).reshape(-1, stride + 1)[:, :-1])
+                ends = np.arange(len(block) + 1, dtype=np.int32) * stride
+                records = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(slots // shard_records, pa.int64()), pa.array(slots, pa.int64()), records], names=["shard", "slot", "record"])
         if count:
             raise RuntimeError("the rows were dealt to tasks otherwise than when they were counted; store the table before")
 
@@ -107,11 +117,13 @@ def _records(docs: DataFrame, path: str, length: int, first: dict[int, tuple[int
 
 
 def _counted(docs: DataFrame, path: str, length: int) -> DataFrame:
+    import numpy as np
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = encoder(path), 0
-        size = own.dtype.itemsize
-        for batch in batches:
-            n += sum(-(-len(own.encode(x.as_py())) // (size * length)) for x in batch.column(1))
+        for whole in batches:
+            for batch in portions(whole, whole.column(1)):
+                n += int((-(-np.diff(own.encode_all(batch.column(1))[1]) // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["task", "n"])
 
     return docs.mapInArrow(run, "task long, n long")
@@ -123,19 +135,23 @@ def write(docs: DataFrame, folder: str, key: int = 20_240_229, path: str | None
     Ids are found twice (to count, then to write): that is cheaper than to keep all of them on
     disk in between. Indices follow the tasks of the scan; docs has to be a table, whose tasks
     are the same both times, and that is checked."""
+    import numpy as np
+
     path = path or default_path()
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} has to be an integer")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one row for each task
-    tasks = sorted((x.task, x.n) for x in _counted(given, path, length).collect())
-    first, n = {}, 0
-    for task, own in tasks:
-        first[task] = (n, own)
-        n += own
+    # a pair of numbers for each task of the scan, far less than the driver keeps of a task anyway
+    counted = _counted(given, path, length).where("n > 0").toArrow().sort_by("task")
+    tasks, counts = (counted[c].to_numpy() for c in ("task", "n"))
+    n = int(counts.sum())
     if n:
+        first = docs.sparkSession.sparkContext.broadcast((tasks, np.cumsum(counts) - counts, counts))
         records = _records(given, path, length, first, n, key, shard_records)
         shards = -(-n // shard_records)
+        writers = min(shards, WRITERS)
         (
-            records.repartitionById(shards, F.col("shard").cast("int"))
+            records.repartitionById(writers, (F.col("shard") * F.lit(writers) / F.lit(shards)).cast("int"))
             .sortWithinPartitions("shard", "slot")
             .select("shard", F.col("record").cast("string").alias("value"))
             .write.partitionBy("shard")
@@ -169,7 +185,7 @@ def read(spark: SparkSession, folder: str, path: str | None = None, length: int
                         [
                             pa.array(slots[a : a + 1024], pa.int64()),
                             pa.array(np.full(len(some), shard), pa.int64()),
-                            pa.array([None if x < 0 else x for x in some["doc_id"].tolist()], pa.int64()),
+                            pa.array([None if x == NO_ID else x for x in some["doc_id"].tolist()], pa.int64()),
                             pa.array(some["part"], pa.int32()),
                             pa.array(some["n"], pa.int32()),
                             pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
