@@ -1,12 +1,16 @@
 """Main text of web pages by composite text density.
 
-A tolerant reader builds the tree of elements. Subtrees that their tag, role or class names
-as navigation, header, footer, sidebar, notice, advert, form or comments don't count. For each
+A tolerant reader builds the tree of elements, in a time that grows with the page's length
+alone. Subtrees that their tag, role or class names as navigation, header, footer, sidebar,
+notice, advert, form or comments don't count. A class or id names so only if all its words do
+(with words of place, such as site or main), and only an element that doesn't hold an article
+(or, in a page without one, most of the text); headings and paragraphs are judged by words for adverts alone. For each
 node, characters per tag, adjusted for links, is its density; a node's density sum is that
 over its children. The node with the greatest sum holds the article; where a sibling on its
 way to the body is as dense as the sparsest node on that way (the threshold), or is a heading
 before it, or the node lies in an article element, the wider node is taken. All its text is
-given: a line for each block, white space within a block as one space.
+given, lists of links too: a line for each block, white space within a block as one space. Of
+nodes with the same sum the first of the page, and of those the outermost, is taken.
 
 A null or empty page gives an empty text. The whole of each page is read, however long.
 Repeated pages are repeated in the result. Other columns aren't read.
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -48,88 +52,182 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar footer foot copyright sidebar aside rail widget widgets comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations toolbar toc skip".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'>/=]+)""")
+#: Words that say nothing by themselves, beside those above.
+PLACE_WORDS = frozenset("site main page global primary secondary top bottom left right upper lower outer inner wrap wrapper container box block bar list item items panel area section slot unit group links link content body text region col column row js mobile desktop sticky fixed".split())
+#: Those that count for headings and paragraphs too.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored promo promoted".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd td th figure figcaption".split())
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The rest of a tag, with quoted values; nothing is tried twice.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|([^\s"'>/=]++)""")
+#: Elements whose opening or end looks for an open element up to others: a bit for each kind.
+SCOPES = {"p": (1, "article section div td th li blockquote button table body".split())} | {tag: (2 << i, ENDS[tag][1]) for i, tag in enumerate(ENDS)}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "inlines", "link_chars", "link_tags", "noise", "parent", "scope", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, parent: Node | None, noise: str):
         self.tag, self.parent, self.noise, self.children = tag, parent, noise, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        # open elements of each kind between here and what bounds the kind
+        scope = parent.scope if parent else 0
+        for name, (bit, until) in SCOPES.items():
+            if tag in until:
+                scope &= ~bit
+            if tag == name:
+                scope |= bit
+        self.scope = scope
+        # how often each inline tag is open within this block
+        self.inlines: dict[str, int] | None = {} if tag in BLOCK else None
 
 
-def _noisy(tag: str, attributes: str, parent: Node) -> bool:
-    if parent.noise or tag in NOISE_TAGS:
-        return True
+def _named(value: str, words: frozenset) -> bool:
+    """True if one of the names in the value is made of such words and words of place alone."""
+    for name in html.unescape(value).split():
+        own = [x.lower() for x in WORD.findall(name)]
+        if not words.isdisjoint(own) and all(x in words or x in PLACE_WORDS or x.isdigit() for x in own):
+            return True
+    return False
+
+
+def _noise(tag: str, attributes: str, parent: Node) -> str:
+    """Why the element doesn't count: by its tag or role, by a name only, or not at all."""
+    if tag in NOISE_TAGS:
+        return "tag"
     if tag == "header":
         while parent is not None:
             if parent.tag in ("article", "main"):
-                return False
+                return ""
             parent = parent.parent
-        return True
+        return "tag"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    words, found = ADVERTS if tag in TEXT_TAGS else NOISE_WORDS, ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if not NOISE_WORDS.isdisjoint(x.lower() for x in WORD.findall(html.unescape(value))):
-                return True
+            if _named(value, words):
+                found = "name"
         elif name == "role" and value.strip().lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "tag"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "tag"
+    return found
+
+
+def _settle(body: Node) -> None:
+    """Elements that a name alone speaks against count if they hold an article, or, in a page that
+    has none, over half of the text that isn't noise by tag; all within noise is noise."""
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.children if isinstance(x, Node) and x.noise != "tag"]
+    chars: dict[int, int] = {}
+    articles: dict[int, bool] = {}
+    for node in reversed(order):
+        inner = [x for x in node.children if isinstance(x, Node) and x.noise != "tag"]
+        chars[id(node)] = sum(len(x.strip()) for x in node.children if isinstance(x, str)) + sum(chars[id(x)] for x in inner)
+        articles[id(node)] = node.tag in ("article", "main") or any(articles[id(x)] for x in inner)
+    for node in order:
+        held = articles[id(node)] if articles[id(body)] else 2 * chars[id(node)] > chars[id(body)]
+        if node.noise == "name" and held:
+            node.noise = ""
+    stack = [(body, False)]
+    while stack:
+        node, within = stack.pop()
+        if within:
+            node.noise = node.noise or "tag"
+        stack += [(x, bool(node.noise)) for x in node.children if isinstance(x, Node)]
 
 
 def tree(page: str) -> Node:
     """The page's elements and, as strings among their children, its texts."""
-    root = Node("html", None, False)
-    body = Node("body", root, False)
+    root = Node("html", None, "")
+    body = Node("body", root, "")
     root.children.append(body)
-    at, here, end = 0, body, len(page)
+    block = body  # the innermost open block
+    open_blocks: dict[str, int] = {}
+    at, here, end, quotes = 0, body, len(page), True
+
+    def text(a: int, b: int) -> None:
+        if b > a:
+            here.children.append(html.unescape(page[a:b]))
+
+    def leave(node: Node) -> None:
+        """Closes all up to node."""
+        nonlocal here, block
+        while True:
+            if here.inlines is None:
+                block.inlines[here.tag] -= 1
+            else:
+                open_blocks[here.tag] -= 1
+            done, here = here is node, here.parent
+            if done:
+                break
+        block = here
+        while block.inlines is None:
+            block = block.parent
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = OPEN.search(page, at)
         if m is None:
-            here.children.append(html.unescape(page[at:]))
+            text(at, end)
             break
-        if m.start() > at:
-            here.children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        text(at, m.start())
+        tag = (m[2] or "").lower()
         if not tag:
+            close = page.find("-->" if page.startswith("<!--", m.start()) else ">", m.end() - 2 if page.startswith("<!-->", m.start()) else m.end())
+            at = end if close < 0 else close + (3 if page.startswith("-->", close) else 1)
             continue
-        if m[1] or m[4]:
-            node = here
-            while node is not body and node.tag != tag:
-                # a stray end of an inline element doesn't end the block around it
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = body
-                    break
-                node = node.parent
-            if node is not body:
-                here = node.parent
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            # once a quote stays open to the page's end, quotes don't count any more
+            quotes = False
+            close = page.find(">", m.end())
+            if close < 0:
+                text(m.start(), end)
+                break
+            at = close + 1
+        else:
+            at = rest.end()
+        attributes = page[m.end() : at - 1]
+        if m[1]:
+            # a stray end changes nothing; that of an inline element doesn't end the block around it
+            if (open_blocks if tag in BLOCK else block.inlines).get(tag, 0):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             continue
         if tag in ("html", "body"):
             continue
-        ends, until = (("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "button", "table", "body")) if tag in ENDS_P else ENDS.get(tag, ((), ()))
-        if ends:
+        ends = ("p",) if tag in ENDS_P else ENDS.get(tag, ((), ()))[0]
+        bits = sum(SCOPES[x][0] for x in ends)
+        if here.scope & bits:
+            until = SCOPES["p"][1] if tag in ENDS_P else ENDS[tag][1]
             node = here
             while node is not body and node.tag not in until and node.tag not in ends:
                 node = node.parent
-            if node is not body and node.tag in ends:
-                here = node.parent
-        attributes = m[3] or m[6] or ""
-        node = Node(tag, here, _noisy(tag, attributes, here))
+            if node.tag in ends:
+                leave(node)
+        node = Node(tag, here, _noise(tag, attributes, here))
         here.children.append(node)
-        if tag in RAW and not (tag in ("svg", "math") and attributes.rstrip().endswith("/")):
+        if tag in RAW and not (tag == "svg" and attributes.rstrip().endswith("/")):
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
-        elif tag not in VOID:
+        elif tag not in VOID and not (attributes.endswith("/") and tag == "svg"):
             here = node
+            if node.inlines is None:
+                block.inlines[tag] = block.inlines.get(tag, 0) + 1
+            else:
+                open_blocks[tag] = open_blocks.get(tag, 0) + 1
+                block = node
+    _settle(body)
     return body
 
 
@@ -230,7 +328,7 @@ def text_of(node: Node) -> str:
             held.append(x)
         elif x.tag == "br":
             held.append(" ")
-        elif not x.noise and not (x is not node and x.tag in ("ul", "ol", "div", "section", "table") and x.link_tags > 1 and x.link_chars > 0.6 * x.chars):
+        elif not x.noise:
             if x.tag in BLOCK:
                 close()
                 stack.append(None)
