@@ -1,12 +1,16 @@
 """Lexical retrieval packing.
 
 Each document becomes its ids and an end id. Whole windows of a long document are sequences
-of their own; what remains of each document (under one window) goes, by the row's number, to
-a shard of a bounded number of ids. A shard has a BM25 inverted index over its remainders:
-the first unused one is the seed of a window, and the unused neighbours with the highest score
-fill it greedily; the one that doesn't fit is cut, and its rest is the next seed. The last ids
-of a shard are cut at powers of two. So sequences need no padding at all. How many documents
-have an id, and mean lengths, are counted over all remainders of the corpus.
+of their own; what remains of each document (under one window) goes to a shard of a bounded
+number of ids, near in order to those with which it shares its rarest ids: shards are ranges of
+(rarest id that another remainder has too, second rarest, hash of the row), so a near copy or a
+text on the same matter is in the same shard, and a group too large for one is split by the next
+of the three. A shard has a BM25 inverted index over its remainders: the first unused one is the
+seed of a window, and the unused neighbours with the highest score fill it greedily; the one that
+doesn't fit is cut, and its rest is the next seed. The last ids of a shard are cut at powers of
+two. So sequences need no padding at all. How many documents have an id, and mean lengths, are
+counted over all remainders of the corpus. Documents that share common ids alone may lie in
+different shards and don't meet.
 
 Null and empty texts are the end id alone. Repeated rows are packed each. Null ids of
 documents are kept. An empty table gives no piece.
@@ -18,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +162,7 @@ def fill(docs: list, weights, mean: float, window: int) -> list[tuple[int, int,
                     sequence, offset = sequence + 1, 0
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
     import numpy as np
 
@@ -175,24 +180,42 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     n, total = rests.agg(F.count("*"), F.sum(F.length("rest"))).first()
     if not n:
         return whole
-    shards = max(1, round(total / size / SHARD_TOKENS))
+    shards = max(1, round(total / size / shard_tokens))
     frequency = _document_frequencies(rests, path)
     names = whole.columns
     weights, mean = np.log1p((n - frequency + 0.5) / (frequency + 0.5)), total / size / n
+    # ids by how rare they are; those of one remainder alone are last
+    rank = np.empty(len(frequency), np.int64)
+    rank[np.lexsort((np.arange(len(frequency)), frequency, frequency < 2))] = np.arange(len(frequency))
 
-    def run(table: pa.Table) -> pa.Table:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(path).dtype
-        table = table.combine_chunks()
+        for batch in batches:
+            rarest = np.full((len(batch), 2), -1)
+            for i, rest in enumerate(batch["rest"]):
+                order = np.sort(rank[np.unique(np.frombuffer(rest.as_py(), dtype))])[:2]
+                rarest[i, : len(order)] = order
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rarest[:, 0]), pa.array(rarest[:, 1])], names=[*batch.schema.names, "first", "second"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one shard, of a bounded number of ids
+        held = list(batches)
+        if not held:
+            return
+        dtype = encoder(path).dtype
+        # by row, as a lost task's rows may come in another order when they come again
+        table = pa.Table.from_batches(held).sort_by("row").combine_chunks()
         docs = [np.frombuffer(x.as_py(), dtype) for x in table["rest"]]
-        pieces = fill(docs, weights, mean, window)
-        doc, start, length, sequence, offset = map(np.array, zip(*pieces, strict=True))
+        doc, start, length, sequence, offset = map(np.array, zip(*(pieces := fill(docs, weights, mean, window)), strict=True))
         base = (table["doc_tokens"].to_numpy() - np.array([len(x) for x in docs]))[doc]
         # the shard's number above, the window's number below, and a 1 that whole windows don't have
-        name = (np.int64(table["shard"][0].as_py()) << 24 | sequence) * 2 + 1
+        name = (np.int64(TaskContext.get().partitionId()) << 24 | sequence) * 2 + 1
         crcs = [crc(docs[d][a : a + k]) for d, a, k, _, _ in pieces]
-        picked = table.take(pa.array(doc))
-        return pa.table([picked["doc_id"], base + start, length, pa.array(crcs, pa.int64()), picked["doc_tokens"], name, offset], names=names)
+        picked = table.take(pa.array(doc)).combine_chunks()
+        out = pa.table([picked["doc_id"], base + start, length, pa.array(crcs, pa.int64()), picked["doc_tokens"], name, offset], names=names)
+        yield from out.to_batches(max_chunksize=10_000)
 
-    sharded = rests.select(F.expr(f"pmod(xxhash64(monotonically_increasing_id()), {shards})").alias("shard"), "doc_id", "doc_tokens", "rest")
-    packed = sharded.groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    given = rests.select("doc_id", "doc_tokens", "rest", F.monotonically_increasing_id().alias("row"))
+    ranged = given.mapInArrow(keyed, f"doc_id {kind}, doc_tokens long, rest binary, row long, first long, second long").repartitionByRange(shards, "first", "second", F.xxhash64("row"))
+    packed = ranged.select("doc_id", "doc_tokens", "rest", "row").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return whole.union(packed)
