@@ -108,7 +108,9 @@ def links(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
 
 def forest(edges: DataFrame) -> DataFrame:
     """The edges (a, b) that join parts within a task: at most one fewer than its nodes. A
-    large group of near copies so sends on a number of edges in proportion to its members."""
+    large group of near copies so sends on a number of edges in proportion to its members. Which
+    edges stay follows from their order, so they are sorted first: a task that runs again after
+    an executor was lost, with rows that come in another order, gives the same forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -127,7 +129,7 @@ def forest(edges: DataFrame) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
