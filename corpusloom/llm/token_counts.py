@@ -10,6 +10,8 @@ columns aren't read. An empty table gives an empty histogram.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,5 +73,7 @@ def truncated_totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def quantile(sums: DataFrame, share: float) -> DataFrame:
-    """One row: the least length that at least this share of documents doesn't exceed."""
-    return sums.where(F.col("total_docs") - F.col("docs_longer") >= F.ceil(F.lit(share) * F.col("total_docs"))).agg(F.min("n_tokens").alias("n_tokens"))
+    """One row: the least length that at least this share of documents doesn't exceed. The share
+    counts as the decimal it is written as, so that 0.07 of 100 documents are 7."""
+    least = F.ceil(F.lit(Decimal(repr(float(share)))).cast("decimal(19,18)") * F.col("total_docs").cast("decimal(19,0)"))
+    return sums.where(F.col("total_docs") - F.col("docs_longer") >= least).agg(F.min("n_tokens").alias("n_tokens"))
