@@ -104,6 +104,18 @@ def test_links_are_whole(spark, n):
     assert got == {(signed(a), signed(b)) for a, b in want if signed(a) < signed(b)}
 
 
+def test_forest_follows_no_order(spark):
+    from corpusloom.llm.simhash_dedup import forest
+
+    rng = random.Random(2)
+    edges = [(i, j) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.3]
+    got = []
+    for _ in range(3):
+        rng.shuffle(edges)
+        got.append({tuple(r) for r in forest(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(_components(edges, range(30))) - len(set(_components(edges, range(30)).values()))
+
+
 def test_encoder(texts):
     import numpy as np
     from tokenizers import Tokenizer
@@ -158,6 +170,24 @@ def test_packing_prefers_neighbours():
     assert sum(p[2] for p in pieces) == 2400 and same[1] >= 5
 
 
+def test_packing_over_many_shards(spark):
+    """Texts on the same matter share windows however many shards there are, and the result
+    doesn't follow how the rows were dealt."""
+    from corpusloom.llm.packing import pack
+
+    rng = random.Random(5)
+    matters = [[prose(rng, 1) + rng.choice("zqxj") * 3 + str(k) for _ in range(40)] for k in range(30)]
+    rows = [(i, " ".join(rng.choice(matters[i % 30]) for _ in range(60))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = pack(frame.repartition(3), shard_tokens=4_000).collect()
+    seen = {}
+    for r in packed:
+        seen.setdefault(r.sequence_id, Counter())[r.doc_id % 30] += r.length
+    alike = sum(max(c.values()) for c in seen.values()) / sum(sum(c.values()) for c in seen.values())
+    assert len({r.sequence_id >> 25 for r in packed}) > 5 and alike > 0.5
+    assert sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
+
+
 def test_neighbours_by_all_ids():
     """Scores are those of BM25 over all different ids of the seed."""
     import numpy as np
@@ -197,6 +227,10 @@ def test_token_counts(docs, texts, empty, spark):
     assert {r.context_limit: r.tokens for r in truncated_totals(frame, limits).collect()} == {k: sum(min(x, k) for x in n) for k in (0, 1, 77, 1024, 10**6)}
     assert quantile(frame, 0.5).first()[0] == sorted(n)[-(-len(n) // 2) - 1]
     assert suffix_sums(length_histogram(empty)).count() == 0
+    from pyspark.sql import Row
+
+    hundred = suffix_sums(spark.createDataFrame([Row(n_tokens=k, n_docs=1) for k in range(1, 101)], "n_tokens long, n_docs long"))
+    assert [quantile(hundred, q).first()[0] for q in (0.0, 0.07, 0.55, 0.29, 1.0)] == [1, 7, 55, 29, 100]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 256, 1000])
@@ -232,6 +266,11 @@ def test_training_order(spark, docs, texts, empty):
     later = read(spark, folder, length=64, shard_records=10, start=13, with_ids=False).orderBy("slot")
     assert [r.slot for r in later.collect()] == list(range(13, n))
     assert write(empty, new_path(spark, "order")) == 0
+    signed, folder = spark.createDataFrame([(-7, "a b"), (None, "c d"), (-1, "e f")], "doc_id long, text string"), new_path(spark, "order")
+    write(signed, folder, length=64)
+    assert {r.doc_id for r in read(spark, folder, length=64).collect()} == {-7, None, -1}
+    with pytest.raises(ValueError, match="integer"):
+        write(signed.select(F.col("doc_id").cast("string"), "text"), folder)
 
 
 def _distance(window, text):
@@ -307,6 +346,45 @@ def test_html(page, text):
     assert main_text(page) == text
 
 
+BODY = "<p>" + "word of the article, here. " * 30 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "first", "last"),
+    [
+        ("<div class='content with-sidebar'><article>{}</article></div>", "word", "here."),
+        ("<div class='post comments-open'>{}</div>", "word", "here."),
+        ("<div class='no-ad'>{}</div>", "word", "here."),
+        ("<div id='search-results-explained'>{}</div>", "word", "here."),
+        ("<article><div class='post-header'><h1>Title here</h1></div>{}</article>", "Title", "here."),
+        ("<article>{}<p class='reply'>A reply said so.</p></article>", "word", "so."),
+        ("<article>{}<ul><li><a href=1>Paper one</a></li><li><a href=2>Paper two</a></li></ul></article>", "word", "two"),
+        ("<article>{}<p>Take <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p></article>", "word", "x+1"),
+        ("<article><h2 id='related-work'>Related work</h2>{}</article>", "Related", "here."),
+        ("<div class='comments'><p>I liked it.</p></div><article>{}</article><div class='site-footer'>foot</div>", "word", "here."),
+        ("<div class=sidebar><p>side</p></div><div>{}</div><div class='ad-slot'>buy</div>", "word", "here."),
+    ],
+)
+def test_html_names(page, first, last):
+    from corpusloom.llm.html_text import main_text
+
+    got = main_text("<html><body><nav><a href=/>Home</a></nav>" + page.format(BODY) + "<footer>f</footer></body></html>").split()
+    assert got[0] == first and got[-1] == last and not {"side", "liked", "foot", "buy", "Home", "f"} & set(got)
+
+
+def test_html_is_linear():
+    """Megabytes of unclosed tags and quotes, stray ends and deep nesting end soon and whole."""
+    import time
+
+    from corpusloom.llm.html_text import main_text
+
+    began = time.time()
+    for page in ('<a "' * 100_000, "<span>" * 50_000 + "</b>" * 50_000, '<b x="' * 100_000, "<b><p><button>" + "<span>" * 30_000 + "<hr>" * 30_000, "<div>" * 50_000 + "x", "<" * 500_000):
+        main_text(page)
+    assert time.time() - began < 60
+    assert main_text("<article><p>" + "a b " * 500_000 + "</p></article>") == ("a b " * 500_000).strip()
+
+
 def test_html_frame(spark):
     from corpusloom.llm.html_text import extract
 
@@ -341,6 +419,16 @@ def test_quality_rules(docs, texts, empty):
     assert judge(empty).count() == 0
 
 
+def test_rules_keep_clashing_columns(spark):
+    from corpusloom.llm.quality_rules import clean, judge
+
+    names = "_in _all _text _words _lines _good _lost _h _s _by_line n_words".split()
+    frame = spark.createDataFrame([(1, "word " * 60 + ".", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    row = judge(frame).first()
+    assert [row[x] for x in names[:-1]] == list(range(len(names) - 1)) and row.n_words == 61
+    assert clean(frame).columns == frame.columns
+
+
 def test_line_rules(spark):
     from corpusloom.llm.quality_rules import judge
 
