@@ -41,9 +41,8 @@ def text_contents(captures: DataFrame) -> DataFrame:
 def web_contents(captures: DataFrame) -> DataFrame:
     """A segment with the page's visible text; the submitted title before the page's own. Pages
     without visible text are an error of processing, not an empty document."""
-    read = visible_html.extract(captures.select("id", F.col("payload.html").alias("html")), "id", "html").withColumnsRenamed({"text": "_text", "title": "_found"})
-    joined = captures.join(read, "id").withColumn("_title", F.coalesce("payload.title", "_found"))
-    return _one_segment(joined, "web", "html", F.col("payload.html"))
+    read = visible_html.read(captures, "payload", "html", text="_text", title="_found").withColumn("_title", F.coalesce("payload.title", "_found"))
+    return _one_segment(read, "web", "html", F.col("payload.html"))
 
 
 def _one_segment(df: DataFrame, kind: str, provenance: str, original: Column) -> DataFrame:
