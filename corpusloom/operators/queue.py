@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: limits of the queues and the seconds that a lease lasts
@@ -11,20 +11,22 @@ FAILURES = {"file_exists": "conflict", "write_ambiguous": "ambiguous"}
 
 
 def register(requests: DataFrame, operations: DataFrame, capacity: int = CAPACITY, history: int = HISTORY) -> DataFrame:
-    """(id, outcome) of requests (id, request, seq): existing for the same request, conflict for
-    another one, history_full, queue_full, or queued for those that find room in order."""
-    have = operations.agg(F.count("*").alias("n"), F.count_if(F.col("state").isin("queued", "running")).alias("open"))
-    known = requests.alias("q").join(operations.alias("o").select("id", F.col("request").alias("before")), "id", "left")
-    asked = known.crossJoin(F.broadcast(have))  # one row
+    """(id, outcome) of requests (id, request, seq): existing for the same request,
+    operation_conflict for another one; new ones in their order are queued while there is room,
+    and then queue_full, or operation_history_full where only the history is."""
+    have = operations.agg(F.count("*").alias("n"), F.count_if(F.col("state").isin("queued", "running")).alias("open")).first()
+    room, left = max(capacity - have["open"], 0), max(history - have["n"], 0)
+    known = requests.alias("q").join(operations.select("id", F.col("request").alias("before")), "id", "left")
     new = F.col("before").isNull()
     # only the first of the new ones can find room: the others needn't be ordered
-    room = max(capacity, 0)
-    first = asked.where(new).orderBy("seq").limit(room)
-    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy("seq"))).select("id", "_rank")
-    fresh = asked.where(new).join(F.broadcast(ranked), "id", "left").withColumn("_rank", F.coalesce("_rank", F.lit(max(room, history) + 1)))
-    told = F.when(F.col("n") >= history, "history_full").when(F.col("open") + F.col("_rank") > capacity, "queue_full").when(F.col("n") + F.col("_rank") > history, "history_full").otherwise("queued")
-    old = asked.where(~new).select("id", F.when(F.col("before") == F.col("request"), "existing").otherwise("conflict").alias("outcome"))
-    return old.union(fresh.select("id", told.alias("outcome")))
+    first = known.where(new).orderBy("seq").limit(min(room, left)).select("id", F.lit(True).alias("fits"))
+    told = F.when(~new & (F.col("before") == F.col("request")), "existing").when(~new, "operation_conflict").when(F.col("fits"), "queued")
+    return known.join(F.broadcast(first), "id", "left").select("id", told.otherwise("queue_full" if room <= left else "operation_history_full").alias("outcome"))
+
+
+def depth(operations: DataFrame, key: list[str], history: int = HISTORY) -> DataFrame:
+    """(key, open, history, full) of each queue."""
+    return operations.groupBy(*key).agg(F.count_if(F.col("state").isin("queued", "running")).alias("open"), F.count("*").alias("history"), (F.count("*") >= history).alias("full"))
 
 
 def claim(operations: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:

@@ -20,23 +20,34 @@ def _states(df: DataFrame, status, step: int, error=None) -> DataFrame:
 
 
 def ingest(captures: DataFrame, folder: str) -> None:
-    """One batch of envelopes into folder/{raw,states,contents}; captures whose id is known
-    already aren't taken again, so a batch can be given twice."""
+    """One batch of envelopes into folder/{raw,states,contents,refusals}; captures that came to an
+    end already aren't taken again, and rows that are there already aren't added again, so a batch
+    can be given twice, after a stop between any two of the writes too."""
     spark = captures.sparkSession
+
+    def add(rows: DataFrame, name: str, *key: str) -> None:
+        path = f"{folder}/{name}"
+        if store.exists(spark, path):
+            rows = rows.join(spark.read.parquet(path).select(*key), [*key], "left_anti")
+        rows.write.mode("append").parquet(path)
+
     if store.exists(spark, f"{folder}/states"):
         done = latest(spark.read.parquet(f"{folder}/states"), ["id"], F.col("step")).where("status in ('complete', 'failed')")
         captures = captures.join(done.select("id"), "id", "left_anti")
-    good = admitted(captures.dropDuplicates(["id"])).where("size(errors) = 0 and route_error is null")
+    judged = admitted(captures.dropDuplicates(["id"]))
+    refused = judged.where("size(errors) > 0 or route_error is not null")
+    add(refused.select("id", F.to_json("errors").alias("errors"), F.col("route_error").cast("string").alias("route_error")), "refusals", "id")
+    good = judged.where("size(errors) = 0 and route_error is null")
     material = F.coalesce("payload.text", "payload.html")
     known = good.where(F.col("processor").isin("text@0.2", "webpage@0.1")).where(material.isNotNull())
     store.put(known.select(F.encode(material, "UTF-8").alias("content")), f"{folder}/raw")
     states = _states(known, "received", 0).union(_states(known, "stored", 1)).union(_states(known, "processing", 2))
-    states.write.mode("append").parquet(f"{folder}/states")
+    add(states, "states", "id", "step")
     contents = text_contents(known.where("payload.type = 'text'")).union(web_contents(known.where("payload.type = 'webpage' and payload.html is not null")))
-    contents.where("status = 'complete'").write.mode("append").parquet(f"{folder}/contents")
+    add(contents.where("status = 'complete'"), "contents", "capture_id")
     have = spark.read.parquet(f"{folder}/contents").select(F.col("capture_id").alias("id")).distinct().withColumn("_has", F.lit(True))
     ended = known.select("id").join(have, "id", "left")
-    _states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(F.col("_has").isNull(), "processing_failed")).write.mode("append").parquet(f"{folder}/states")
+    add(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(F.col("_has").isNull(), "processing_failed")), "states", "id", "step")
 
 
 def illegal(states: DataFrame) -> DataFrame:

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from corpusloom.functions.text import fenced, frontmatter, is_blank
 
 
-def json(record: Column) -> Column:
+def _not_finite(value: Column, kind: DataType) -> Column | None:
+    """True where a number within the value isn't finite; None if there can't be any."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.isnan(value) | (F.abs(value) == float("inf"))
+    if isinstance(kind, StructType):
+        tests = [_not_finite(value[f.name], f.dataType) for f in kind.fields]
+    elif isinstance(kind, ArrayType):
+        within = _not_finite(F.get(value, F.lit(0)), kind.elementType)
+        tests = [within if within is None else F.exists(value, lambda x: F.coalesce(_not_finite(x, kind.elementType), F.lit(False)))]
+    elif isinstance(kind, MapType):
+        return _not_finite(F.map_values(value), ArrayType(kind.valueType))
+    else:
+        return None
+    found = [F.coalesce(x, F.lit(False)) for x in tests if x is not None]
+    return reduce(Column.__or__, found) if found else None
+
+
+def json(record: Column, kind: DataType | None = None) -> Column:
     """Lossless compact JSON: nulls are kept. Structs have to declare their fields in
-    alphabetical order; a NaN, which JSON doesn't have, is an error."""
+    alphabetical order. A number that isn't finite, which JSON doesn't have, is an error; it is
+    looked for in the numbers of the record's type, so that texts may say NaN."""
     text = F.to_json(record, {"ignoreNullFields": "false"})
-    return F.when(text.rlike(r':"(?:NaN|-?Infinity)"'), F.raise_error(F.lit("not a JSON number"))).otherwise(text)
+    bad = None if kind is None else _not_finite(record, kind)
+    return text if bad is None else F.when(bad, F.raise_error(F.lit("not a JSON number"))).otherwise(text)
 
 
 def markdown(title: Column, texts: Column) -> Column:

@@ -47,8 +47,10 @@ def jpeg_size(content: bytes) -> tuple[int, int]:
         if size < 2:
             raise ValueError("malformed")
         if marker in FRAMES:
-            if at + 7 > len(content):
+            if at + size > len(content):
                 raise ValueError("truncated")
+            if size < 8 or size < 8 + 3 * content[at + 7]:
+                raise ValueError("malformed")
             height, width = int.from_bytes(content[at + 3 : at + 5], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
             if not width or not height:
                 raise ValueError("zero_dimension")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.digests import digest, ref_error
@@ -13,6 +13,12 @@ def objects(content: DataFrame, content_col: str = "content") -> DataFrame:
     return content.select(digest(F.col(content_col)).alias("digest"), F.col(content_col).alias("content")).dropDuplicates(["digest"]).select("digest", F.substring("digest", 1, 2).alias("shard"), F.octet_length("content").alias("length"), "content")
 
 
+def copies(content: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(digest, first_id, copies, length): what the store would keep once, and for how many."""
+    found = content.groupBy(digest(F.col(content_col)).alias("digest"))
+    return found.agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"), F.max(F.octet_length(content_col)).alias("length"))
+
+
 def put(content: DataFrame, path: str, content_col: str = "content") -> None:
     """Adds what the store doesn't have; what is there wins. Digests alone meet in the join."""
     spark, new = content.sparkSession, objects(content, content_col)
@@ -41,11 +47,15 @@ def present(refs: DataFrame, stored: DataFrame, ref_col: str = "ref") -> DataFra
 
 def create(new: DataFrame, table: DataFrame, *unique: tuple[str, str]) -> DataFrame:
     """new with outcome: created, or the code of the first (column, code) whose value the table
-    has already, or that an earlier row of new (by the first column) has."""
+    has already, or an earlier row of new has (in the order of all its columns; of rows that are
+    the same in all of them, one is created)."""
     out, told = new, F.lit(None).cast("string")
+    for i, (column, _) in enumerate(unique):
+        order = Window.partitionBy(column).orderBy(*new.columns)
+        out = out.withColumn(f"_n{i}", F.row_number().over(order))
     for i, (column, code) in reversed([*enumerate(unique)]):
         out = out.join(table.select(F.col(column).alias(f"_k{i}")).distinct().withColumn(f"_f{i}", F.lit(True)), F.col(column) == F.col(f"_k{i}"), "left")
-        told = F.when(F.col(f"_f{i}"), code).otherwise(told)
+        told = F.when(F.coalesce(F.col(f"_f{i}"), F.lit(False)) | (F.col(column).isNotNull() & (F.col(f"_n{i}") > 1)), code).otherwise(told)
     return out.withColumn("outcome", F.coalesce(told, F.lit("created"))).select(*new.columns, "outcome")
 
 

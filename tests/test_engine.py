@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import queue
 from corpusloom.plans import contents, lifecycle, render
+from corpusloom.sources import store
 from corpusloom.streaming import captures
 
 
@@ -132,3 +135,53 @@ def test_video_markdown(spark):
     assert [k.id for k in rows[0].keyframes] == ["2", "4", "6"] and [s.type for s in rows[0].segments] == ["transcript", "visual"]
     assert "[0.50 - 1.50 sec] hi" in rows[0].md and "a tree" in rows[0].md
     assert rows[1].segments == [] and rows[1].md == '---\nid: "2"\n---\n\n# T'
+
+
+def test_create_within_a_batch(spark):
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "c"), (4, "d"), (None, "x"), (None, "y")], "id int, name string")
+    table = spark.createDataFrame([(4, "z")], "id int, name string")
+    got = sorted(((r.id or 0), r.name, r.outcome) for r in store.create(new, table, ("id", "known_id"), ("name", "known_name")).collect())
+    assert got == [(0, "x", "created"), (0, "y", "created"), (1, "a", "created"), (1, "b", "known_id"), (2, "c", "created"), (3, "c", "known_name"), (4, "d", "known_id")]
+
+
+def test_register_limits(spark):
+    ops = spark.createDataFrame([(1, "a", "queued"), (2, "b", "complete")], "id int, request string, state string")
+    asked = spark.createDataFrame([(1, "a", 1), (2, "x", 2), (3, "c", 3), (4, "d", 4)], "id int, request string, seq int")
+    told = lambda **kw: [r.outcome for r in queue.register(asked, ops, **kw).orderBy("id").collect()]
+    assert told() == ["existing", "operation_conflict", "queued", "queued"]
+    assert told(capacity=2, history=3)[2:] == ["queued", "queue_full"]
+    assert told(capacity=1, history=2)[2:] == ["queue_full", "queue_full"]
+    assert told(capacity=9, history=3)[2:] == ["queued", "operation_history_full"]
+
+
+def test_json_of_texts_and_numbers(spark):
+    kind = "a array<double>, b string"
+    good = spark.createDataFrame([([1.5, None], "NaN")], kind)
+    assert good.select(render.json(F.struct("a", "b"), good.schema)).first()[0] == '{"a":[1.5,null],"b":"NaN"}'
+    bad = spark.createDataFrame([([float("inf")], "x")], kind)
+    with pytest.raises(Exception, match="not a JSON number"):
+        bad.select(render.json(F.struct("a", "b"), bad.schema)).first()
+
+
+def test_request_windows(spark):
+    from corpusloom.streaming.captures import request_rate
+
+    rows = [("a", i, s) for i, s in enumerate([0, 10, 59, 60, 61, 125])] + [("b", 9, 30)]
+    events = spark.createDataFrame(rows, "who string, event_id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.who, r.event_id): (r.window_start.timestamp(), r.number, r.allowed) for r in request_rate(events, "who", limit=2).collect()}
+    assert [got["a", i][1:] for i in range(6)] == [(1, True), (2, True), (3, False), (1, True), (2, True), (1, True)] and got["b", 9][0] - got["a", 0][0] == 30
+
+
+def test_ingest_after_a_stop(spark, tmp_path):
+    """States and contents that were written before a stop aren't written again; a refused capture leaves a row."""
+    folder = str(tmp_path / "store")
+    lifecycle.ingest(_captures(spark), folder)
+    states = spark.read.parquet(f"{folder}/states")
+    n, contents = states.count(), spark.read.parquet(f"{folder}/contents").count()
+    kept = states.where("step < 3").collect()
+    spark.createDataFrame(kept, states.schema).write.mode("overwrite").parquet(f"{folder}/other")
+    spark.read.parquet(f"{folder}/other").write.mode("overwrite").parquet(f"{folder}/states")
+    lifecycle.ingest(_captures(spark), folder)
+    assert spark.read.parquet(f"{folder}/states").count() == n and spark.read.parquet(f"{folder}/contents").count() == contents
+    refused = spark.read.parquet(f"{folder}/refusals")
+    assert refused.count() == refused.select("id").distinct().count()
