@@ -88,8 +88,9 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_lines_removed and clean_text (the text without the lines that fail), which take the place
     of columns of those names; all other columns are as given, whatever their names."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), text.alias("_text")).withColumn("_all", F.split("_text", "\n", -1))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit(""))
+    df = docs.toDF(*own).withColumn("_text", text).withColumn("_all", F.split("_text", "\n", -1))
     # a line feed parts words too, so the lines' words are the text's
     df = df.withColumn("_by_line", F.transform("_all", words_of)).withColumn("_words", F.flatten("_by_line"))
     df = df.withColumn("_lines", F.filter("_all", lambda x, i: F.size(F.get("_by_line", i)) > 0))
@@ -109,7 +110,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("_lost") <= MOST_LOST * F.length("_text")))
     added = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines_removed base_failed kept clean_text".split()
-    return df.select(*[F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+    return df.select(*[F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True) if name not in added], *added)
 
 
 def clean(docs: DataFrame) -> DataFrame:
