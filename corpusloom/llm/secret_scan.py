@@ -1,11 +1,14 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
 Patterns with a wide net find candidates in the whole text: known key formats, values that are
-assigned to a telling name, and long runs that mix letters and digits. A random forest then
+assigned to a telling name, passwords in addresses, private keys to their last line, and long
+runs that mix letters and digits or cases. A random forest then
 judges each by its length, how likely its character transitions are in words, how much of it a
 dictionary covers, its path (the document's source) and the words beside it. The forest is
 trained on labelled findings; where none are given, on FINDINGS_MADE examples made from a seed.
 
+The words beside a candidate are those within BEFORE characters before and AFTER after it.
+
 Null and empty texts have no candidate; a null source is an empty path. Repeated rows are
 scanned each. Each candidate has a row, with the forest's verdict. Other columns aren't read.
 """
@@ -27,17 +30,22 @@ from pyspark.sql import functions as F
 from corpusloom.llm.trees import cuts, grow, predict
 
 FINDINGS_MADE = 6_000
+BEFORE, AFTER = 48, 32
 TREES, DEPTH = 24, 8
 #: Labelled findings that are used at most.
 MAX_FINDINGS = 50_000
 
-NAMES = r"(?:api|access|auth|secret|private|client|session|signing|encryption|master|aws|db|database)?[_-]?(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credentials?|bearer)"
+#: What a telling name ends in, whatever stands before (as in aws_secret_access_key).
+NAMES = r"(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credentials?|bearer)"
 CANDIDATE = re.compile(
     r"(?P<private_key>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
     r"|(?P<format>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{20,}|\bxox[abprs]-[0-9A-Za-z-]{10,}|\bsk[-_][0-9A-Za-z_-]{20,}|\bAIza[0-9A-Za-z_-]{30,}|\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]*)"
-    rf"|(?<![0-9A-Za-z_])(?i:{NAMES})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>,;]{{8,}})"
+    r"|://[^\s:/@\"']{1,64}:(?P<login>[^\s:/@\"']{4,})@"
+    rf"|(?i:{NAMES})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?(?P<assigned>[^\s\"'<>,;]{{6,}})"
     r"|(?<![0-9A-Za-z+/_-])(?P<run>[0-9A-Za-z+/_-]{20,}={0,2})"
 )
+#: The line that ends a private key.
+KEY_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
 #: One of these has to be there for any of the patterns to match.
 ANY = re.compile(r"[0-9A-Za-z+/_-]{20}|-----BEGIN|AKIA|ASIA|xox|[=:]")
 
@@ -106,17 +114,32 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     ]
 
 
+def _plain(run: str) -> bool:
+    """True for what is words or a number: letters of one case but for capitals that begin words,
+    or no letters at all."""
+    if any(c.isdigit() for c in run):
+        return not any(c.isalpha() for c in run)
+    cased = [c.isupper() for c in run if c.isalpha()]
+    return sum(a and not b for a, b in zip(cased, cased[1:], strict=False)) < max(3, len(cased) // 6)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of the value, in text order."""
+    """(start, end, kind) of the value, in text order; of a private key, up to its last line, if
+    there is one before the next key begins."""
     if not ANY.search(text):
         return
-    for m in CANDIDATE.finditer(text):
+    at, closes = 0, True
+    while m := CANDIDATE.search(text, at):
         kind = m.lastgroup
         start, end = m.span(kind)
-        value = text[start:end]
-        if kind == "run" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue  # words and numbers
-        yield start, end, kind
+        at = m.end()
+        if kind == "private_key" and closes:
+            closing = KEY_END.search(text, at)
+            closes = closing is not None
+            if closes and text.find("-----BEGIN", at, closing.start()) < 0:
+                at = end = closing.end()
+        if kind != "run" or not _plain(text[start:end]):
+            yield start, end, kind
 
 
 def made_findings(n: int = FINDINGS_MADE, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -131,13 +154,16 @@ def made_findings(n: int = FINDINGS_MADE, seed: int = 11) -> list[tuple[str, str
         name = rng.choice(["token", "api_key", "secret", "password", "apiKey", "access_token", "client_secret", "SECRET_KEY", "auth_token", "key"])
         put = rng.choice([' = "', "=", ": ", ": '", "='", ' := "'])
         if rng.random() < 0.5:
-            value = rng.choice([lambda: chars(hexa, rng.choice([32, 40, 48, 64])), lambda: chars(base62, rng.randrange(20, 65)), lambda: chars(base62 + "+/", rng.choice([40, 44, 64])), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(base62, 36), lambda: "sk-" + chars(base62, 40), lambda: chars(base62 + "!@#%^&*", rng.randrange(10, 24))])()
+            value = rng.choice([lambda: chars(hexa, rng.choice([32, 40, 48, 64])), lambda: chars(base62, rng.randrange(20, 65)), lambda: chars(base62 + "+/", rng.choice([40, 44, 64])), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(base62, 36), lambda: "sk-" + chars(base62, 40), lambda: chars(base62 + "!@#%^&*", rng.randrange(10, 24)), lambda: chars(string.ascii_letters, rng.randrange(24, 48)), lambda: rng.choice(DICTIONARY) + chars("0123456789!#$", rng.randrange(1, 5)), lambda: chars(base62, rng.randrange(8, 14))])()
             before = f"{prose(3)} {name}{put}"
+            if len(value) < 16:
+                # passwords: named so, or in an address
+                before = f"{prose(3)} {rng.choice(['password', 'passwd', 'pwd', 'db_password', 'secret'])}{put}" if rng.random() < 0.6 else f"{prose(2)} {rng.choice(['postgres', 'mysql', 'https', 'amqp'])}://{rng.choice(DICTIONARY)}:"
             if value.startswith(("AKIA", "ghp_", "sk-")) and rng.random() < 0.5:
                 before = prose(4) + " "
             label = 1
         else:
-            label, pick = 0, rng.randrange(8)
+            label, pick = 0, rng.randrange(10)
             before = f"{prose(3)} {name}{put}"
             if pick == 0:
                 value, before = chars(hexa, rng.choice([7, 12, 32, 40, 64])), prose(2) + rng.choice([" commit ", " sha256: ", " md5=", " checksum ", " digest: ", " etag: "])
@@ -151,6 +177,10 @@ def made_findings(n: int = FINDINGS_MADE, seed: int = 11) -> list[tuple[str, str
                 value, before = "_".join(rng.choice(DICTIONARY) for _ in range(rng.randrange(4, 8))) + str(rng.randrange(10)), prose(4) + " "
             elif pick == 5:
                 value = "".join(rng.choice(DICTIONARY).capitalize() for _ in range(rng.randrange(3, 6))) + rng.choice(["", "()", "1", "V2"])
+            elif pick == 8:
+                value, before = rng.choice(DICTIONARY) + rng.choice(DICTIONARY), f"{prose(3)} the {name}: "
+            elif pick == 9:
+                value, before = "".join(rng.choice(DICTIONARY).capitalize() for _ in range(rng.randrange(4, 7))), prose(4) + " "
             elif pick == 6:
                 value, before = f"{rng.randrange(10**9)}-{rng.choice(DICTIONARY)}-{rng.randrange(10**9)}", prose(3) + " order "
             else:
@@ -195,7 +225,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
                 for start, end, kind in candidates(text):
                     value = text[start:end]
                     rows.append((i, start, end, kind, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()))
-                    xs.append(features(value, path or "", text[max(0, start - 48) : start], text[end : end + 32]))
+                    xs.append(features(value, path or "", text[max(0, start - BEFORE) : start], text[end : end + AFTER]))
             score = probability(forest.value, np.array(xs)) if xs else np.zeros(0)
             score = np.where([x[3] == "private_key" for x in rows], 1.0, score) if xs else score
             columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
