@@ -606,7 +606,7 @@ def test_lines_of_one_word_set_and_long_lines(spark):
 
 def test_similarity_bound(spark):
     """The bound never says so of lines that aren't similar."""
-    from corpusloom.llm.line_dedup import surely_similar
+    from corpusloom.llm.line_dedup import equal_ends, middle, surely_similar
 
     rng = random.Random(12)
     pairs = []
@@ -622,6 +622,9 @@ def test_similarity_bound(spark):
     got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(surely_similar(F.col("a"), F.col("b"))).collect()]
     true = [_edit(a, b) <= 0.2 * max(len(a), len(b)) for a, b in pairs]
     assert all(t for g, t in zip(got, true, strict=True) if g) and sum(got) > 0.5 * sum(true)
+    frame = spark.createDataFrame(pairs, "a string, b string").withColumn("ends", equal_ends(F.col("a"), F.col("b")))
+    middles = frame.select(middle(F.col("a"), F.col("ends")), middle(F.col("b"), F.col("ends"))).collect()
+    assert all(_edit(*m) == _edit(*p) for m, p in zip(middles, pairs, strict=True))
 
 
 def test_pipeline(spark, tmp_path):
