@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import schema
 from corpusloom.functions import digests, numbers, urls
 from corpusloom.functions import text as tx
-from corpusloom.operators import queue, timeline, validate, word_errors
+from corpusloom.operators import projections, queue, timeline, validate, word_errors
 from corpusloom.operators.route import matches, routed
 from corpusloom.plans import contents, render
 from corpusloom.sources import store, visible_html
@@ -640,3 +640,90 @@ def video_notes(events, conversations):
     about = events.where("event_id % 2 = 0").select(F.col("event_id").alias("frame_id"), F.col("event_type").alias("text"))
     videos = frames.select("id").distinct().withColumn("offset", F.lit(0.5))
     return notes(videos, cues, frames, about).select("id", F.size("segments").cast("long").alias("segments"), F.size("keyframes").cast("long").alias("keyframes"))
+
+
+# Projections
+
+
+@_query(
+    "orders",
+    "lineitem",
+    sql="""WITH s AS (SELECT l_orderkey AS k,
+      list(concat('{"index":', l_linenumber, CASE WHEN l_returnflag <> 'N' THEN concat(',"codec":"', l_returnflag, '"') ELSE '' END, '}') ORDER BY l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END NULLS FIRST) AS a
+      FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+    SELECT o_orderkey, concat('{"media":{"container":"mp4"', CASE WHEN o_orderkey % 3 > 0 THEN concat(',"duration_seconds":', CAST(o_orderkey % 100 AS VARCHAR), '.5') ELSE '' END,
+      ',"audio_stream_count":', coalesce(len(a), 0), ',"video_stream_count":0},"audio_streams":[', coalesce(array_to_string(a, ','), ''), '],"video_streams":[]}') AS metadata
+    FROM orders LEFT JOIN s ON k = o_orderkey""",
+)
+def media_metadata(orders, lineitem):
+    codec = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    streams = lineitem.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", codec.alias("codec"))
+    seconds = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 100 + F.lit(0.5).cast("double"))
+    df = orders.select("o_orderkey", seconds.alias("seconds")).join(projections.streams_by(streams, "o_orderkey", "l_linenumber", ["codec"], "audio"), "o_orderkey", "left")
+    none = F.array().cast("array<struct<index:int,codec:string>>")
+    return df.select("o_orderkey", projections.media_metadata(F.lit("mp4"), F.col("seconds"), F.col("audio"), none).alias("metadata"))
+
+
+@_query(
+    "documents",
+    sql="""SELECT doc_id, CASE doc_id % 3
+      WHEN 0 THEN concat('{"engine_invoked":true,"engine":"', source, '","engine_version":"1","settings":{"lang":"', lang, '"}}')
+      WHEN 1 THEN '{"engine_invoked":false,"skipped_reason":"encoded_pixel_limit","max_encoded_pixels":100}'
+      ELSE '{"engine_invoked":false,"skipped_reason":"encoded_byte_limit","max_encoded_bytes":100}' END AS metadata FROM documents""",
+)
+def recognition_metadata(documents):
+    k = F.col("doc_id") % 3
+    refusal = F.when(k == 1, "encoded_pixel_limit").when(k == 2, "encoded_byte_limit")
+    return documents.select("doc_id", projections.recognition_metadata(refusal, F.lit(100), F.col("source"), F.lit("1"), F.struct("lang")).alias("metadata"))
+
+
+@_query(
+    "orders",
+    sql="""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'queued' ELSE 'interrupted' END AS state, o_orderstatus = 'F' AS result_available,
+      CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'Inspect the capture before explicitly submitting a new operation ID.' END AS next_action FROM orders""",
+)
+def operation_views(orders):
+    state = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "queued").otherwise("interrupted")
+    return projections.operation_view(orders.select("o_orderkey", state.alias("state"), F.col("o_custkey").alias("reserved_capture_id")))
+
+
+_FOLDER = "CASE doc_id % 6 WHEN 0 THEN concat(source, '/', lang) WHEN 1 THEN concat('.', source) WHEN 2 THEN concat(source, '//', lang) WHEN 3 THEN concat('con.', lang) WHEN 4 THEN concat(source, ' /', lang) ELSE text END"
+
+
+@_query(
+    "documents",
+    sql=f"""WITH f AS (SELECT doc_id, {_FOLDER} AS folder FROM documents), p AS (SELECT doc_id, folder, unnest(string_split(folder, '/')) AS part FROM f),
+    g AS (SELECT doc_id, bool_and(length(part) BETWEEN 1 AND 80 AND NOT starts_with(part, '.') AND NOT regexp_matches(part, '[. ]$')
+      AND NOT regexp_matches(part, '[\\x00-\\x1f\\x7f-\\x{{9f}}\\\\:%<>"|?*]') AND NOT regexp_matches(part, '(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\\.|$)') AND lower(part) <> '.settings') AS ok FROM p GROUP BY 1)
+    SELECT doc_id, CASE WHEN ok AND length(folder) BETWEEN 1 AND 200 THEN concat(folder, '/capture-', sha256(CAST(doc_id AS VARCHAR)), '.md') END AS path FROM f JOIN g USING (doc_id)""",
+)
+def receiver_paths(documents):
+    name = digests.file_name(F.col("doc_id").cast("string"))
+    return documents.select("doc_id", F.expr(_FOLDER).alias("folder")).select("doc_id", projections.note_path(F.col("folder"), name, ".settings").alias("path"))
+
+
+@_query("events", sql="SELECT event_id, CAST(CASE WHEN event_id % 7 > 3 THEN 300000 ELSE 30000 * (1 << CAST(event_id % 7 AS INT)) END AS BIGINT) AS delay FROM events")
+def poll_delays(events):
+    return events.select("event_id", projections.poll_delay(F.col("event_id") % 7).alias("delay"))
+
+
+@_query("events", sql="SELECT user_id, max(event_id) AS event_id, max(value) AS value FROM events GROUP BY 1")
+def telemetry_peaks(events):
+    return projections.peaks(events, ["user_id"], "event_id", "value")
+
+
+@_query("lineitem", sql="SELECT l_orderkey, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS pages FROM lineitem GROUP BY 1")
+def page_lists(lineitem):
+    pages = lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("pages"))
+    return pages.select("l_orderkey", F.array_join(projections.page_list(F.col("pages")).cast("array<string>"), ",").alias("pages"))
+
+
+@_query("nation", sql="SELECT n_nationkey, '0.1' AS before_metadata, '0.1,0.2' AS before_audio FROM nation")
+def versions_before(nation):
+    joined = {f"before_{n}": F.array_join(projections.versions_before(v), ",") for n, v in (("metadata", projections.METADATA_VERSIONS), ("audio", projections.AUDIO_VERSIONS))}
+    return nation.select("n_nationkey", *[v.alias(n) for n, v in joined.items()])
+
+
+@_query("documents", sql="SELECT doc_id, coalesce(octet_length(encode(text)) > 2000, false) AS too_large FROM documents")
+def bounded_reads(documents):
+    return documents.select("doc_id", projections.too_large(F.encode("text", "UTF-8"), 2000).alias("too_large"))
