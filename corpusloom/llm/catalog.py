@@ -79,6 +79,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.vector_codes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.source_divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -115,7 +127,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+def _op11_sql() -> str:
+    """Rounds as common table expressions. Dot products are of doubles, exact for integers this
+    small."""
+    norm = "list_inner_product({0}, {0})".format
+    nearest = (
+        "SELECT p.r, p.k, any_value(p.x) AS x, min({{'d': p.n - 2 * list_inner_product(p.x, b.c) + b.n, 'e': b.e}}) AS best "
+        "FROM parts p JOIN book{0} b USING (k) GROUP BY 1, 2"
+    ).format
+    ctes = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024.0 * x::DOUBLE)) AS v FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT *, {norm('x')} AS n FROM (SELECT r, k, v[k * (len(v) // 4) + 1:(k + 1) * (len(v) // 4)] AS x FROM kept, range(4) AS t(k)))",
+        "book0 AS MATERIALIZED (SELECT k, r - 1 AS e, x AS c, n FROM parts WHERE r <= 256)",
+    ]
+    for i in range(4):
+        ctes += [
+            f"assigned{i} AS MATERIALIZED ({nearest(i)})",
+            f"means{i} AS (SELECT k, e, list(m ORDER BY i) AS c FROM (SELECT k, best.e AS e, i, floor(sum(x[i]) / count(*)) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM assigned{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+            f"book{i + 1} AS MATERIALIZED (SELECT *, {norm('c')} AS n FROM (SELECT k, e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN means{i} m USING (k, e)))",
+        ]
+    ctes += [
+        f"final AS ({nearest(4)})",
+        "codes AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY k) AS code, sum(best.d)::BIGINT AS error FROM final GROUP BY 1)",
+        "told AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY k, e)) AS s FROM book4)",
+    ]
+    return (
+        f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 "
+        "FROM kept JOIN codes USING (r), told"
+    )
+
+
+def _op13_sql() -> str:
+    from corpusloom.llm.source_divergence import LEAST_DOCUMENTS, SMOOTHING, TOP, UNIT
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    share = f"1 + ({UNIT}::HUGEINT * ({{}} + {SMOOTHING})) // ({{}} + {SMOOTHING} * v)".format
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT id, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{upper}', '{upper.lower()}') AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS whole FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= {LEAST_DOCUMENTS}),
+langs AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS k FROM w GROUP BY 1, 2, 3),
+grid AS MATERIALIZED (SELECT g.lang, g.source, kept.term, whole, coalesce(k, 0) AS k, sum(coalesce(k, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+s AS MATERIALIZED (SELECT grid.*, {share('k', 'total')} AS p, {share('whole', 'n')} AS q FROM grid JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY 1, 2, 3),
+found AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source != g.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM s WHERE k > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM found QUALIFY part = 'pair' OR rank <= {TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has neither XXH64 nor the vocabulary's ids, nor trees of elements or alignments in
     bands: the other queries are held against brute force in the tests."""
-    return {"op6_quality_rules": _op6_sql()}
+    return {"op6_quality_rules": _op6_sql(), "op11_vector_codes": _op11_sql(), "op13_source_divergence": _op13_sql()}
