@@ -85,6 +85,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.source_divergence import audit
 
