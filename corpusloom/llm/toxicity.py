@@ -233,15 +233,14 @@ def arrays(model: DataFrame):
         return None
     table = model.toArrow()
     k, v = table["k"].to_numpy(), table["v"].to_numpy()
-    k, at = np.unique(k, return_index=True)
-    return model.sparkSession.sparkContext.broadcast((k, v[at].astype(np.int32)))
+    at = np.argsort(k, kind="stable")
+    return model.sparkSession.sparkContext.broadcast((k[at], v[at].astype(np.int32)))
 
 
-def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
-    """words (word, ...) with ratio."""
+def word_ratios(words: DataFrame, model: DataFrame, kept=None) -> DataFrame:
+    """words (word, ...) with ratio; kept: the model's arrays, if it has any."""
     import numpy as np
 
-    kept = arrays(model)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
     if kept is not None:
 
@@ -265,7 +264,7 @@ def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
     return words.join(total, "word")
 
 
-def statistic(docs: DataFrame, model: DataFrame | None) -> DataFrame:
+def statistic(docs: DataFrame, model: DataFrame | None, kept=None) -> DataFrame:
     """docs with x, the gain of a document's expressions by the square root of their number, in
     place of text (docs: text first, not null)."""
     import numpy as np
@@ -274,7 +273,6 @@ def statistic(docs: DataFrame, model: DataFrame | None) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     if model is None:
         return docs.select(*others, F.lit(0.0).alias("x"))
-    kept = arrays(model)
     if kept is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +310,15 @@ def train(labelled: DataFrame) -> DataFrame | None:
         return None
     first = entries(words)
     likely = F.col("ratio") / UNIT + math.log(MIXED / (1 - MIXED)) > 0
-    again = word_ratios(words, first).select(
+    kept = arrays(first)
+    again = word_ratios(words, first, kept).select(
         "word", F.when(likely, F.col("toxic")).otherwise(0).alias("toxic"), F.when(likely, F.col("ordinary")).otherwise(F.col("ordinary") + F.col("toxic")).alias("ordinary")
     )
-    out = entries(stored(again, "toxicity-words"))
-    delete(words.sparkSession, words, first)
+    again = stored(again, "toxicity-words")
+    if kept is not None:
+        kept.destroy()
+    out = entries(again)
+    delete(words.sparkSession, words, first, again)
     return out
 
 
@@ -341,9 +343,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = given.join(F.broadcast(known) if fits(known, BROADCAST_LABELS) else known, "doc_id")
     tune = tuning(F.col("doc_id"))
     model = train(labelled.where(~tune))
+    kept = None if model is None else arrays(model)
 
     def sample(rows: DataFrame):
-        found = statistic(rows.select("text", "doc_id", "toxic"), model)
+        found = statistic(rows.select("text", "doc_id", "toxic"), model, kept)
         table = found.orderBy(F.xxhash64("doc_id"), *found.columns).limit(MAX_TUNE).toArrow()
         return table["x"].to_numpy(), table["toxic"].to_numpy().astype(float)
 
@@ -355,5 +358,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         a, b = logistic(x, y)
         value = 1 / (1 + F.exp(-(F.col("x") * a + b)))
-    out = statistic(given, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"))
+    out = statistic(given, model, kept).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
