@@ -1,15 +1,16 @@
 """The life of a capture as rows that are only added: received, stored, processing, and then
-complete or failed. Tables are written before the next state is, so a stop leaves a state from
-which the work can be done again."""
+complete or failed. All rows of a batch are one version of the tables, so a stop leaves the
+version before, from which the work can be done again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.timeline import latest
 from corpusloom.plans.contents import admitted, text_contents, web_contents
-from corpusloom.sources import store
+from corpusloom.sources import snapshots, store
 
 # fixed values: which state may follow which
 NEXT = {"received": ("stored",), "stored": ("processing",), "processing": ("complete", "failed")}
@@ -19,35 +20,58 @@ def _states(df: DataFrame, status, step: int, error=None) -> DataFrame:
     return df.select("id", (F.lit(status) if isinstance(status, str) else status).alias("status"), F.lit(step).alias("step"), (F.lit(None).cast("string") if error is None else error).alias("error"))
 
 
-def ingest(captures: DataFrame, folder: str) -> None:
-    """One batch of envelopes into folder/{raw,states,contents,refusals}; captures that came to an
-    end already aren't taken again, and rows that are there already aren't added again, so a batch
-    can be given twice, after a stop between any two of the writes too."""
+def ingest(captures: DataFrame, folder: str, writer: str | None = None, batch: int | None = None, attempts: int = 5) -> snapshots.Version:
+    """One batch of envelopes into folder: originals into raw, and the states, contents and
+    refusals of its captures as one version of the tables, so that they become visible together. Captures
+    that came to an end, or were refused, aren't taken again, and a batch that comes again (with
+    its writer's name and number) is known by the version. If another writer commits first, the
+    batch is judged again by what is there then."""
     spark = captures.sparkSession
+    for _ in range(attempts):
+        base = snapshots.head(spark, folder)
+        if base.has(writer, batch):
+            return base
+        try:
+            return snapshots.commit(spark, folder, base, _parts(captures, folder, base), writer, batch)
+        except snapshots.Conflict:
+            continue
+    raise snapshots.Conflict(f"{attempts} other writers committed first")
 
-    def add(rows: DataFrame, name: str, *key: str) -> None:
-        path = f"{folder}/{name}"
-        if store.exists(spark, path):
-            rows = rows.join(spark.read.parquet(path).select(*key), [*key], "left_anti")
-        rows.write.mode("append").parquet(path)
 
-    if store.exists(spark, f"{folder}/states"):
-        done = latest(spark.read.parquet(f"{folder}/states"), ["id"], F.col("step")).where("status in ('complete', 'failed')")
-        captures = captures.join(done.select("id"), "id", "left_anti")
-    judged = admitted(captures.dropDuplicates(["id"]))
+def _parts(captures: DataFrame, folder: str, base: snapshots.Version) -> dict[str, snapshots.Part]:
+    """Writes the rows that a batch adds; {table: part}."""
+    spark = captures.sparkSession
+    captures = captures.dropDuplicates(["id"])
+    for table in ("states", "refusals"):
+        known = snapshots.lookup(spark, folder, table, captures, "id", base)
+        if known is not None:
+            captures = captures.join(known.select("id").distinct(), "id", "left_anti")
+    # written once: four tables are made of it
+    judged = admitted(captures)
+    work = f"{folder}/data/_judged/{uuid.uuid4().hex}"
+    judged.write.parquet(work)
+    judged = spark.read.schema(judged.schema).parquet(work)
     refused = judged.where("size(errors) > 0 or route_error is not null")
-    add(refused.select("id", F.to_json("errors").alias("errors"), F.col("route_error").cast("string").alias("route_error")), "refusals", "id")
     good = judged.where("size(errors) = 0 and route_error is null")
     material = F.coalesce("payload.text", "payload.html")
     known = good.where(F.col("processor").isin("text@0.2", "webpage@0.1")).where(material.isNotNull())
     store.put(known.select(F.encode(material, "UTF-8").alias("content")), f"{folder}/raw")
-    states = _states(known, "received", 0).union(_states(known, "stored", 1)).union(_states(known, "processing", 2))
-    add(states, "states", "id", "step")
     contents = text_contents(known.where("payload.type = 'text'")).union(web_contents(known.where("payload.type = 'webpage' and payload.html is not null")))
-    add(contents.where("status = 'complete'"), "contents", "capture_id")
-    have = spark.read.parquet(f"{folder}/contents").select(F.col("capture_id").alias("id")).distinct().withColumn("_has", F.lit(True))
+    out = {"contents": snapshots.part(contents.where("status = 'complete'"), folder, "contents", "capture_id")}
+    have = snapshots.rows_of(spark, folder, out["contents"]).select(F.col("capture_id").alias("id")).distinct().withColumn("_has", F.lit(True))
     ended = known.select("id").join(have, "id", "left")
-    add(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(F.col("_has").isNull(), "processing_failed")), "states", "id", "step")
+    states = _states(known, "received", 0).union(_states(known, "stored", 1)).union(_states(known, "processing", 2))
+    states = states.union(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(F.col("_has").isNull(), "processing_failed")))
+    out["states"] = snapshots.part(states, folder, "states", "id")
+    told = refused.select("id", F.to_json("errors").alias("errors"), F.col("route_error").cast("string").alias("route_error"))
+    return out | {"refusals": snapshots.part(told, folder, "refusals", "id")}
+
+
+def table(spark: SparkSession, folder: str, name: str, ids: DataFrame | None = None) -> DataFrame | None:
+    """states, contents or refusals as of the last version; of the given ids (a column named as
+    the table's key), found in their buckets, or of all."""
+    key = "capture_id" if name == "contents" else "id"
+    return snapshots.read(spark, folder, name) if ids is None else snapshots.lookup(spark, folder, name, ids, key)
 
 
 def illegal(states: DataFrame) -> DataFrame:

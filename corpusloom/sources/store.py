@@ -1,4 +1,6 @@
-"""Content-addressed store and snapshot tables on Parquet."""
+"""Content-addressed objects, and rows that are created or replaced.
+
+The objects' files are the data source of raw_objects; tables of versions are in snapshots."""
 
 from __future__ import annotations
 
@@ -6,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.digests import digest, ref_error
+from corpusloom.sources import raw_objects
+from corpusloom.sources.folders import exists  # noqa: F401
 
 
 def objects(content: DataFrame, content_col: str = "content") -> DataFrame:
@@ -20,22 +24,14 @@ def copies(content: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def put(content: DataFrame, path: str, content_col: str = "content") -> None:
-    """Adds what the store doesn't have; what is there wins. Digests alone meet in the join."""
-    spark, new = content.sparkSession, objects(content, content_col)
-    if exists(spark, path):
-        new = new.join(spark.read.parquet(path).select("digest"), "digest", "left_anti")
-    new.write.mode("append").partitionBy("shard").parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Adds what the store doesn't have; what is there wins. Only the shards of the batch are
+    looked at."""
+    raw_objects.put(objects(content, content_col), path)
 
 
-def get(spark: SparkSession, path: str, ref: str) -> DataFrame:
-    """One object; only its shard is read."""
-    d = ref.removeprefix("sha256:")
-    return spark.read.parquet(path).where((F.col("shard") == d[:2]) & (F.col("digest") == d))
+def get(spark: SparkSession, path: str, *refs: str) -> DataFrame:
+    """The objects of the references; only their shards are read, and contents are verified."""
+    return raw_objects.scan(spark, path).where(F.col("digest").isin([r.removeprefix("sha256:") for r in refs]))
 
 
 def present(refs: DataFrame, stored: DataFrame, ref_col: str = "ref") -> DataFrame:

@@ -15,8 +15,9 @@ def source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run(captures: DataFrame, folder: str, checkpoint: str, available_now: bool = True):
-    """Ingests each micro-batch. A batch that comes again after a stop changes nothing."""
-    writer = captures.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: ingest(batch, folder))
+    """Ingests each micro-batch. A batch that comes again after a stop changes nothing: the
+    versions know the last one of this checkpoint."""
+    writer = captures.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: ingest(batch, folder, checkpoint, n))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

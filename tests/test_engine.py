@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import queue
 from corpusloom.plans import contents, lifecycle, render
-from corpusloom.sources import store
+from corpusloom.sources import raw_objects, store
 from corpusloom.streaming import captures
 
 
@@ -22,12 +22,14 @@ def test_ingest_twice(spark, tmp_path):
     folder = f"file://{tmp_path}/lake"
     for _ in range(2):
         lifecycle.ingest(_captures(spark), folder)
-    states = spark.read.parquet(f"{folder}/states")
+    states = lifecycle.table(spark, folder, "states")
     ended = {(r.id, r.status) for r in states.where("step = 3").collect()}
     assert ended == {("1", "complete"), ("4", "complete"), ("5", "failed")}
     assert states.count() == 12 and lifecycle.illegal(states).count() == 0
-    assert spark.read.parquet(f"{folder}/contents").count() == 2
-    assert spark.read.parquet(f"{folder}/raw").count() == 3
+    assert lifecycle.table(spark, folder, "contents").count() == 2
+    assert raw_objects.scan(spark, f"{folder}/raw").count() == 3
+    asked = spark.createDataFrame([("1",), ("9",)], "capture_id string")
+    assert [r.capture_id for r in lifecycle.table(spark, folder, "contents", asked).collect()] == ["1"]
 
 
 def test_stream(spark, tmp_path):
@@ -37,7 +39,7 @@ def test_stream(spark, tmp_path):
     (inbox / "a.json").write_text("\n".join(map(json.dumps, rows)))
     run = captures.run(captures.source(spark, str(inbox)), f"file://{tmp_path}/lake", f"file://{tmp_path}/cp")
     run.awaitTermination(120)
-    assert spark.read.parquet(f"file://{tmp_path}/lake/contents").count() == 2
+    assert lifecycle.table(spark, f"file://{tmp_path}/lake", "contents").count() == 2
 
 
 def test_markdown_and_json(spark):
@@ -104,7 +106,7 @@ def test_store(spark, tmp_path):
     path = f"file://{tmp_path}/raw"
     for words in (["a", "b", "a"], ["b", "c"]):
         store.put(spark.createDataFrame([(w.encode(),) for w in words], "content binary"), path)
-    held = spark.read.parquet(path)
+    held = raw_objects.scan(spark, path)
     assert held.count() == 3
     one = held.where(F.col("content") == b"b").first()
     assert store.get(spark, path, f"sha256:{one.digest}").count() == 1
@@ -172,16 +174,79 @@ def test_request_windows(spark):
     assert [got["a", i][1:] for i in range(6)] == [(1, True), (2, True), (3, False), (1, True), (2, True), (1, True)] and got["b", 9][0] - got["a", 0][0] == 30
 
 
-def test_ingest_after_a_stop(spark, tmp_path):
-    """States and contents that were written before a stop aren't written again; a refused capture leaves a row."""
-    folder = str(tmp_path / "store")
-    lifecycle.ingest(_captures(spark), folder)
-    states = spark.read.parquet(f"{folder}/states")
-    n, contents = states.count(), spark.read.parquet(f"{folder}/contents").count()
-    kept = states.where("step < 3").collect()
-    spark.createDataFrame(kept, states.schema).write.mode("overwrite").parquet(f"{folder}/other")
-    spark.read.parquet(f"{folder}/other").write.mode("overwrite").parquet(f"{folder}/states")
-    lifecycle.ingest(_captures(spark), folder)
-    assert spark.read.parquet(f"{folder}/states").count() == n and spark.read.parquet(f"{folder}/contents").count() == contents
-    refused = spark.read.parquet(f"{folder}/refusals")
+def test_ingest_is_one_version(spark, tmp_path, monkeypatch):
+    """Whatever write a stop comes before, the version before stands, and the batch can be given again."""
+    from corpusloom.sources import snapshots
+
+    folder = f"file://{tmp_path}/lake"
+    first = spark.createDataFrame([(7, "first")], "doc_id long, text string")
+    lifecycle.ingest(contents.envelopes(first, F.col("doc_id"), "text", text=F.col("text")), folder)
+    real = {"part": snapshots.part, "commit": snapshots.commit}
+    for stop in range(4):
+        calls = []
+
+        def counted(*args, _f="part", **kw):
+            calls.append(_f)
+            if len(calls) > stop:
+                raise RuntimeError("stopped")
+            return real[_f](*args, **kw)
+
+        monkeypatch.setattr(snapshots, "part", lambda *a, **k: counted(*a, _f="part", **k))
+        monkeypatch.setattr(snapshots, "commit", lambda *a, **k: counted(*a, _f="commit", **k))
+        with pytest.raises(RuntimeError, match="stopped"):
+            lifecycle.ingest(_captures(spark), folder, "w", 3)
+        assert snapshots.head(spark, folder).number == 1 and [r.id for r in lifecycle.table(spark, folder, "states").where("step = 3").collect()] == ["7"]
+    monkeypatch.undo()
+    assert lifecycle.ingest(_captures(spark), folder, "w", 3).number == 2
+    states = lifecycle.table(spark, folder, "states")
+    assert states.count() == 16 and lifecycle.illegal(states).count() == 0
+    # the batch is known by its number; under another number its captures are known by their ids
+    assert lifecycle.ingest(_captures(spark), folder, "w", 3).number == 2
+    lifecycle.ingest(_captures(spark), folder, "w", 4)
+    assert lifecycle.table(spark, folder, "states").count() == 16
+    refused = lifecycle.table(spark, folder, "refusals")
     assert refused.count() == refused.select("id").distinct().count()
+
+
+def test_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from corpusloom.sources import snapshots
+
+    folder = f"file://{tmp_path}/t"
+    rows = lambda n: spark.createDataFrame([(f"k{n}", n), ("both", n)], "id string, n int")
+    base = snapshots.head(spark, folder)
+    parts = [snapshots.part(rows(n), folder, "t", "id") for n in range(6)]
+
+    def run(n):
+        try:
+            return snapshots.commit(spark, folder, base, {"t": parts[n]}).number
+        except snapshots.Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(run, range(6)))
+    assert sorted(x for x in won if x) == [1]
+    assert {r.n for r in snapshots.read(spark, folder, "t").collect()} == {won.index(1)}
+    old = snapshots.head(spark, folder)
+    for n in range(6):
+        snapshots.commit(spark, folder, snapshots.head(spark, folder), {"t": parts[n]} if not won[n] else {})
+    found = snapshots.lookup(spark, folder, "t", spark.createDataFrame([("k3",), (None,), ("no",)], "id string"), "id")
+    assert [tuple(r) for r in found.collect()] == [("k3", 3)]
+    before = sorted(map(tuple, snapshots.read(spark, folder, "t").collect()))
+    assert len(snapshots.compact(spark, folder, "t", "id").tables["t"]) == 1
+    assert sorted(map(tuple, snapshots.read(spark, folder, "t").collect())) == before and snapshots.read(spark, folder, "t", old).count() == 2
+    gone = snapshots.vacuum(spark, folder, keep=1)
+    assert sum(x.startswith("data/") for x in gone) == 6 and sorted(map(tuple, snapshots.read(spark, folder, "t").collect())) == before
+
+
+def test_many_keys_are_looked_up_in_their_buckets(spark, tmp_path, monkeypatch):
+    from corpusloom.sources import snapshots
+
+    folder = f"file://{tmp_path}/t"
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), "id").toDF("id", "n")
+    snapshots.commit(spark, folder, snapshots.Version(), {"t": snapshots.part(rows, folder, "t", "id")})
+    asked = spark.range(0, 4000, 3).select(F.col("id").cast("string").alias("id"))
+    assert sorted(r.n for r in snapshots.lookup(spark, folder, "t", asked, "id").collect()) == list(range(0, 3000, 3))
+    one = snapshots.lookup(spark, folder, "t", asked.where("id = '9'"), "id")
+    assert [r.n for r in one.collect()] == [9] and "PartitionFilters: [bucket" in one._jdf.queryExecution().toString().replace("isnotnull(bucket#", "[bucket").replace("PartitionFilters: [[", "PartitionFilters: [")
