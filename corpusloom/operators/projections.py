@@ -3,6 +3,9 @@ value is absent (never null), views of operations, and the rules of where a rece
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ FOLDER_CHARS, PART_CHARS = 200, 80
 FIRST_DELAY, LAST_DELAY = 30_000, 300_000
 NEXT_ACTION = "Inspect the capture before explicitly submitting a new operation ID."
 
+# fixed values: characters that no part of a path may have, and names of devices
 _FORBIDDEN = r'[\x00-\x1f\x7f-\x9f\\:%<>"|?*]'
 _RESERVED = r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\.|$)"
 
@@ -70,14 +74,29 @@ def operation_view(operations: DataFrame) -> DataFrame:
     return shown.withColumns({"result_available": F.coalesce(F.col("state") == "complete", F.lit(False)), "next_action": action})
 
 
+def composed(text: Column) -> Column:
+    """Whether a text is in composed form (NFC). ASCII always is; the tables of Unicode that decide
+    for the rest are Python's, so batches go there. Null: null."""
+
+    @F.pandas_udf("boolean")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.is_normalized("NFC", x))
+
+    return normal(text)
+
+
+def utf16_units(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def folder_ok(folder: Column, settings_folder: str) -> Column:
-    """Whether a receiver may write into a folder: parts of 1 to PART_CHARS characters that hide
-    nothing, end in no space or full stop, hold no forbidden character, and are no device's name
-    nor the folder of the settings. Null: false. Only composed characters are to be given (NFC)."""
+    """Whether a receiver may write into a folder in composed form: parts of 1 to PART_CHARS UTF-16
+    units that hide nothing, end in no space or full stop, hold no forbidden character, and are no
+    device's name nor the folder of the settings. Null: false."""
     part_ok = lambda p: (
-        F.length(p).between(1, PART_CHARS) & ~p.startswith(".") & ~p.rlike(r"[. ]$") & ~p.rlike(_FORBIDDEN) & ~p.rlike(_RESERVED) & (F.lower(p) != settings_folder.lower())
+        utf16_units(p).between(1, PART_CHARS) & ~p.startswith(".") & ~p.rlike(r"[. ]$") & ~p.rlike(_FORBIDDEN) & ~p.rlike(_RESERVED) & (F.lower(p) != settings_folder.lower())
     )
-    return F.coalesce(F.length(folder).between(1, FOLDER_CHARS) & F.forall(F.split(folder, "/", -1), part_ok), F.lit(False))
+    return F.coalesce(utf16_units(folder).between(1, FOLDER_CHARS) & composed(folder) & F.forall(F.split(folder, "/", -1), part_ok), F.lit(False))
 
 
 def note_path(folder: Column, name: Column, settings_folder: str, extensions: str = "md") -> Column:

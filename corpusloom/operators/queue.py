@@ -13,14 +13,17 @@ FAILURES = {"file_exists": "conflict", "write_ambiguous": "ambiguous"}
 def register(requests: DataFrame, operations: DataFrame, capacity: int = CAPACITY, history: int = HISTORY) -> DataFrame:
     """(id, outcome) of requests (id, request, seq): existing for the same request,
     operation_conflict for another one; new ones in their order are queued while there is room,
-    and then queue_full, or operation_history_full where only the history is."""
+    and then queue_full, or operation_history_full where only the history is. An id that comes
+    again among the requests is held against its first one."""
     have = operations.agg(F.count("*").alias("n"), F.count_if(F.col("state").isin("queued", "running")).alias("open")).first()
     room, left = max(capacity - have["open"], 0), max(history - have["n"], 0)
     known = requests.alias("q").join(operations.select("id", F.col("request").alias("before")), "id", "left")
     new = F.col("before").isNull()
     # only the first of the new ones can find room: the others needn't be ordered
-    first = known.where(new).orderBy("seq").limit(min(room, left)).select("id", F.lit(True).alias("fits"))
-    told = F.when(~new & (F.col("before") == F.col("request")), "existing").when(~new, "operation_conflict").when(F.col("fits"), "queued")
+    mine = known.where(new).groupBy("id").agg(F.min("seq").alias("_seq"), F.min_by("request", "seq").alias("_mine"))
+    first = mine.orderBy("_seq").limit(min(room, left))
+    again = F.when(F.col("seq") == F.col("_seq"), "queued").when(F.col("request").eqNullSafe(F.col("_mine")), "existing").otherwise("operation_conflict")
+    told = F.when(~new & (F.col("before") == F.col("request")), "existing").when(~new, "operation_conflict").when(F.col("_seq").isNotNull(), again)
     return known.join(F.broadcast(first), "id", "left").select("id", told.otherwise("queue_full" if room <= left else "operation_history_full").alias("outcome"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import is_blank
+from corpusloom.operators.running import neighbours, running
 
 
 def positions(blocks: DataFrame, key: list[str], order: list[str], text: str = "text") -> DataFrame:
@@ -40,10 +41,67 @@ def stream_faults(packets: DataFrame, key: list[str], order: list[str], origin:
     )
 
 
-def within_budget(rows: DataFrame, key: list[str], order: list[str], size: str, budget: float) -> DataFrame:
-    """Adds used, the running sum, and within, whether the budget still holds."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).withColumn("within", F.col("used") <= budget)
+# fixed values: seconds that a container's and its streams' times may differ by, the longest
+# container, and the bounds of decoding one
+FIRST_OFF, LAST_OFF, MOST_SECONDS = 0.002, 0.05, 120
+PIXELS, VIDEO_FRAMES, AUDIO_FRAMES, PACKETS = 7_500_000_000, 3600, 6000, 12_000
+#: Packets of a range.
+RANGE = 50_000
+
+
+def container_timelines(tracks: DataFrame, packets: DataFrame, key: str, stream: str) -> DataFrame:
+    """(key, stream, origin, length, frames, pixels, rising, gaps_ok, starts_ok, ends_ok, fault) of tracks
+    (start, duration: as declared) and their packets (pts, duration, pixels; null for sound). The
+    origin is the least declared start of the container, its length reaches to the greatest
+    end. A stream's packets are cut into ranges of their numbers n, so a long one is many tasks;
+    fault is the first test that fails. Times are in seconds."""
+    fine = F.coalesce(F.col("start").isNotNull() & (F.col("duration") > 0), F.lit(False))
+    span = tracks.groupBy(key).agg(F.min("start").alias("origin"), F.max(F.col("start") + F.col("duration")).alias("_end"), F.bool_and(fine).alias("_fine"))
+    given = packets.withColumn("end", F.col("pts") + F.col("duration"))
+    ordered = neighbours(given, [key, stream], ["n"], F.floor(F.col("n") / RANGE), _pts="pts", _end="end")
+    out = ordered.groupBy(key, stream).agg(
+        F.count("*").alias("frames"),
+        F.coalesce(F.sum("pixels"), F.lit(0)).alias("pixels"),
+        F.coalesce(F.bool_and(F.col("pts") > F.col("_pts")), F.lit(True)).alias("rising"),
+        F.coalesce(F.bool_and(F.abs(F.col("pts") - F.col("_end")) <= FIRST_OFF), F.lit(True)).alias("gaps_ok"),
+        F.min_by("pts", "n").alias("_first"),
+        F.max("end").alias("_last"),
+    )
+    df = tracks.join(span, key).join(out, [key, stream], "left")
+    df = df.withColumn("length", F.col("_end") - F.col("origin")).withColumn("starts_ok", F.abs(F.col("_first") - F.col("start")) <= FIRST_OFF)
+    df = df.withColumn("ends_ok", F.abs(F.col("_last") - (F.col("start") + F.col("duration"))) <= LAST_OFF)
+    fault = (
+        F.when(~F.col("_fine"), "unsupported_timing")
+        .when(~F.col("length").between(0, MOST_SECONDS) | (F.col("length") == 0), "duration_limit")
+        .when(~F.col("rising"), "unsupported_timing")
+        .when(~F.coalesce(F.col("starts_ok"), F.lit(False)), "inconsistent_timing")
+        .when(~F.col("gaps_ok"), "unsupported_timing")
+        .when(~F.col("ends_ok"), "inconsistent_timing")
+    )
+    return df.select(key, stream, "origin", "length", "frames", "pixels", "rising", "gaps_ok", "starts_ok", "ends_ok", fault.alias("fault"))
+
+
+def container_budgets(packets: DataFrame, key: str, stream: str, pixels: int = PIXELS, video_frames: int = VIDEO_FRAMES, audio_frames: int = AUDIO_FRAMES, most: int = PACKETS) -> DataFrame:
+    """packets (n, pixels; null for sound) with used_pixels and used_packets of the container and
+    used_frames of the stream so far, and fault: decode_budget_exceeded from where one is beyond its
+    bound (most: packets). The container's packets go by n, then stream, in ranges of n."""
+    part = F.floor(F.col("n") / RANGE)
+    df = packets.withColumn("_one", F.lit(1).cast("long"))
+    df = running(df, [key], ["n", stream], part, used_pixels=("sum", "pixels"), used_packets=("sum", "_one"))
+    df = running(df, [key, stream], ["n"], part, used_frames=("sum", "_one")).drop("_one")
+    bound = F.when(F.col("pixels").isNull(), audio_frames).otherwise(video_frames)
+    over = (F.col("used_pixels") > pixels) | (F.col("used_frames") > bound) | (F.col("used_packets") > most)
+    return df.withColumn("fault", F.when(over, "decode_budget_exceeded"))
+
+
+def within_budget(rows: DataFrame, key: list[str], order: list[str], size: str, budget: float, part: Column | None = None) -> DataFrame:
+    """Adds used, the running sum, and within, whether the budget still holds. part cuts long keys
+    into ranges of their order, so that each is many tasks."""
+    if part is not None:
+        df = running(rows, key, order, part, used=("sum", size))
+    else:
+        df = rows.withColumn("used", F.sum(size).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("within", F.col("used") <= budget)
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schema
+from corpusloom.operators import rates
 from corpusloom.plans.lifecycle import ingest
 
 
@@ -24,50 +25,33 @@ def run(captures: DataFrame, folder: str, checkpoint: str, available_now: bool =
 def request_rate(events: DataFrame, key: str, at: str = "ts", order: str = "event_id", seconds: int = 60, limit: int = 600) -> DataFrame:
     """(key, order, window_start, number, allowed) for each request. A window begins with the first
     request that comes when the one before is over, and requests beyond the limit are refused.
-    Where a window begins depends on all before it, so the rows of a key pass in their order
-    through a task that keeps the window's start and count alone; a stream keeps them as state."""
-    import pyarrow as pa
-
-    span = seconds * 1_000_000
-    given = events.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
-    kinds = [given.schema[c].dataType.simpleString() for c in (key, order)]
-    made = f"{key} {kinds[0]}, {order} {kinds[1]}, window_us long, number long"
-
-    def passed(rows, start, n):
-        out = []
-        for us in rows:
-            if start is None or us - start >= span:
-                start, n = us, 0
-            n += 1
-            out.append((start, n))
-        return out, start, n
-
-    if events.isStreaming:
+    Tables are cut into ranges (see rates). A stream keeps each key's window as state: a
+    batch's rows of a key are put in order, and a row of a time before the window that is
+    open, which comes a batch too late, counts in the window that is open."""
+    if not events.isStreaming:
+        counted = rates.windows(events, key, at, order, seconds)
+    else:
         from pyspark.sql.streaming.state import GroupStateTimeout
 
+        span = seconds * 1_000_000
+        given = events.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where("us is not null")
+        kinds = [given.schema[c].dataType.simpleString() for c in (key, order)]
+
         def step(name, batches, state):
             import pandas as pd
 
             rows = pd.concat(list(batches)).sort_values(["us", order])
-            out, start, n = passed(rows["us"].tolist(), *(state.get if state.exists else (None, 0)))
+            start, n = state.get if state.exists else (None, 0)
+            out = []
+            for us in rows["us"].tolist():
+                if start is None or us - start >= span:
+                    start, n = us, 0
+                n += 1
+                out.append((start, n))
             state.update((start, n))
             yield pd.DataFrame({key: rows[key], order: rows[order], "window_us": [x[0] for x in out], "number": [x[1] for x in out]})
 
-        counted = given.groupBy(key).applyInPandasWithState(step, made, "start long, n long", "append", GroupStateTimeout.NoTimeout)
-    else:
-
-        def run(batches):
-            name, start, n = None, None, 0
-            for batch in batches:
-                told = []
-                for own, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if own != name:
-                        name, start, n = own, None, 0
-                    (one,), start, n = passed([us], start, n)
-                    told.append(one)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.int64())], names=[key, order, "window_us", "number"])
-
-        counted = given.repartition(key).sortWithinPartitions(key, "us", order).mapInArrow(run, made)
+        counted = given.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[0]}, {order} {kinds[1]}, window_us long, number long", "start long, n long", "append", GroupStateTimeout.NoTimeout)
     return counted.select(key, order, F.timestamp_micros("window_us").alias("window_start"), "number", (F.col("number") <= limit).alias("allowed"))
 
 

@@ -1,6 +1,7 @@
 """Lifecycle, stream and state operators."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,23 @@ def test_request_windows(spark):
     assert [got["a", i][1:] for i in range(6)] == [(1, True), (2, True), (3, False), (1, True), (2, True), (1, True)] and got["b", 9][0] - got["a", 0][0] == 30
 
 
+def test_request_windows_of_a_stream(spark, tmp_path):
+    """The windows of a stream, in batches, are those of the table; what comes a batch too late
+    counts in the window that is open."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    batches = [[("a", 0, 0), ("b", 1, 5), ("a", 2, 59)], [("a", 3, 60), ("a", 4, 61)], [("a", 5, 20), ("a", 6, 130), ("b", 7, 64)]]
+    for i, rows in enumerate(batches):
+        file = inbox / f"{i}.json"
+        file.write_text("\n".join(json.dumps({"who": w, "event_id": n, "s": s}) for w, n, s in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("who string, event_id int, s int").option("maxFilesPerTrigger", 1).json(str(inbox)).withColumn("ts", F.timestamp_seconds("s"))
+    run = captures.request_rate(stream, "who", limit=2).writeStream.format("memory").queryName("rates").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert run.awaitTermination(240)
+    got = {(r.who, r.event_id): (int(r.window_start.timestamp()), r.number, r.allowed) for r in spark.table("rates").collect()}
+    assert got == {("a", 0): (0, 1, True), ("a", 2): (0, 2, True), ("a", 3): (60, 1, True), ("a", 4): (60, 2, True), ("a", 5): (60, 3, False), ("a", 6): (130, 1, True), ("b", 1): (5, 1, True), ("b", 7): (5, 2, True)}
+
+
 def test_ingest_is_one_version(spark, tmp_path, monkeypatch):
     """Whatever write a stop comes before, the version before stands, and the batch can be given again."""
     from corpusloom.sources import snapshots
