@@ -18,6 +18,25 @@ PROCESSORS = {
     "video@0.1": lambda kind, mime: (kind == "video") & mime.startswith("video/") & mime.isin(*schema.CONTAINERS),
 }
 
+# fixed values: the mime type of a stored caption artifact
+CAPTION_MIME = "application/vnd.corpusloom.captions+json"
+#: Other processors that a deployment may take: the first two in place of the plain readers (with
+#: both, each such record is ambiguous), the next two in place of the probes.
+OTHERS = {
+    "pdf-ocr@0.1": PROCESSORS["pdf@0.1"],
+    "image-ocr@0.1": PROCESSORS["image@0.1"],
+    "transcription@0.1": lambda kind, mime: kind == "audio",
+    "video-notes@0.1": lambda kind, mime: kind == "video",
+    "captions@0.1": lambda kind, mime: (kind == "file") & (mime == CAPTION_MIME),
+}
+_INSTEAD = {"pdf-ocr@0.1": "pdf@0.1", "image-ocr@0.1": "image@0.1", "transcription@0.1": "audio@0.1", "video-notes@0.1": "video@0.1"}
+
+
+def deployment(*others: str) -> dict:
+    """The processors with others, each in the place of the one whose records it takes."""
+    left = {_INSTEAD.get(name) for name in others}
+    return {k: v for k, v in PROCESSORS.items() if k not in left} | {name: OTHERS[name] for name in others}
+
 
 def matches(kind: Column, mime: Column, processors: dict | None = None) -> Column:
     """The names of all processors that support a record."""

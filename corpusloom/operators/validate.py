@@ -134,3 +134,15 @@ def manifest_error(attachments: Column, total: int = 6 * 1024 * 1024) -> Column:
     ids, names = F.transform(attachments, lambda a: a["id"]), F.transform(attachments, lambda a: a["name"])
     size = F.aggregate(attachments, F.lit(0).cast("long"), lambda n, a: n + a["size"])
     return F.when(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_id").when(F.size(names) != F.size(F.array_distinct(names)), "duplicate_name").when(size > total, "too_large")
+
+
+def media_precondition(kind: Column, wanted: str, raw_id: Column, ref: Column, mime: Column, mimes: tuple[str, ...]) -> Column:
+    """null, or what is known to be wrong with a media record before any byte is read, in the order
+    in which it is told."""
+    return (
+        F.when(~F.coalesce(kind == wanted, F.lit(False)), "payload_type")
+        .when(raw_id.isNull(), "no_raw_object")
+        .when(ref.isNull(), "no_reference")
+        .when(mime.isNull(), "no_mime_type")
+        .when(~mime.isin(*mimes), "mime_type_not_read")
+    )

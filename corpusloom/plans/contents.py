@@ -27,9 +27,9 @@ def envelopes(rows: DataFrame, id_col: Column, kind: str, text: Column | None =
     )
 
 
-def admitted(captures: DataFrame) -> DataFrame:
+def admitted(captures: DataFrame, processors: dict | None = None) -> DataFrame:
     """captures with errors, and with the processor that each goes to (or the routing error)."""
-    names = matches(F.col("payload.type"), F.coalesce(F.col("payload.mime_type"), F.lit("")))
+    names = matches(F.col("payload.type"), F.coalesce(F.col("payload.mime_type"), F.lit("")), processors)
     return captures.withColumn("errors", envelope_errors()).withColumn("_to", routed(names)).withColumns({"processor": F.col("_to.processor"), "route_error": F.col("_to.error")}).drop("_to")
 
 

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.digests import ref_error
 from corpusloom.plans.contents import admitted, text_contents, web_contents
-from corpusloom.sources import snapshots, store
+from corpusloom.sources import raw_objects, snapshots, store
 
 # fixed values: which state may follow which
 NEXT = {"received": ("stored",), "stored": ("processing",), "processing": ("complete", "failed")}
@@ -20,25 +21,41 @@ def _states(df: DataFrame, status, step: int, error=None) -> DataFrame:
     return df.select("id", (F.lit(status) if isinstance(status, str) else status).alias("status"), F.lit(step).alias("step"), (F.lit(None).cast("string") if error is None else error).alias("error"))
 
 
-def ingest(captures: DataFrame, folder: str, writer: str | None = None, batch: int | None = None, attempts: int = 5) -> snapshots.Version:
+#: What each processor makes of its captures; services has more of them.
+READERS = {"text@0.2": text_contents, "webpage@0.1": web_contents}
+SEGMENTS = "array<struct<position:int,type:string,text:string,provenance:string,start:double,end:double,page:int>>"
+
+
+def wide(contents: DataFrame) -> DataFrame:
+    """contents with segments of one type and an error, whichever processor made them."""
+    have = contents.schema["segments"].dataType.elementType.fieldNames()
+    fields = [f.split(":") for f in SEGMENTS.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    one = lambda s: F.struct(*[(s[n] if n in have else F.lit(None)).cast(k).alias(n) for n, k in fields])
+    error = F.col("error") if "error" in contents.columns else F.when(F.col("status") != "complete", "processing_failed")
+    return contents.select("capture_id", "type", "title", "sha256", F.transform("segments", one).cast(SEGMENTS).alias("segments"), "status", error.alias("error"))
+
+
+def ingest(captures: DataFrame, folder: str, writer: str | None = None, batch: int | None = None, attempts: int = 5, readers: dict | None = None, processors: dict | None = None) -> snapshots.Version:
     """One batch of envelopes into folder: originals into raw, and the states, contents and
     refusals of its captures as one version of the tables, so that they become visible together. Captures
     that came to an end, or were refused, aren't taken again, and a batch that comes again (with
     its writer's name and number) is known by the version. If another writer commits first, the
-    batch is judged again by what is there then."""
+    batch is judged again by what is there then. readers: {processor: function of its captures to
+    contents}; a capture of another processor is left alone. processors: those that
+    captures are routed among. Material that is named by reference has to be in raw."""
     spark = captures.sparkSession
     for _ in range(attempts):
         base = snapshots.head(spark, folder)
         if base.has(writer, batch):
             return base
         try:
-            return snapshots.commit(spark, folder, base, _parts(captures, folder, base), writer, batch)
+            return snapshots.commit(spark, folder, base, _parts(captures, folder, base, readers or READERS, processors), writer, batch)
         except snapshots.Conflict:
             continue
     raise snapshots.Conflict(f"{attempts} other writers committed first")
 
 
-def _parts(captures: DataFrame, folder: str, base: snapshots.Version) -> dict[str, snapshots.Part]:
+def _parts(captures: DataFrame, folder: str, base: snapshots.Version, readers: dict, processors: dict | None) -> dict[str, snapshots.Part]:
     """Writes the rows that a batch adds; {table: part}."""
     spark = captures.sparkSession
     captures = captures.dropDuplicates(["id"])
@@ -46,22 +63,29 @@ def _parts(captures: DataFrame, folder: str, base: snapshots.Version) -> dict[st
         known = snapshots.lookup(spark, folder, table, captures, "id", base)
         if known is not None:
             captures = captures.join(known.select("id").distinct(), "id", "left_anti")
+    ref = F.col("payload.file_ref")
+    judged = admitted(captures, processors).withColumn("digest", F.when(ref_error(ref).isNull(), F.substring(ref, 8, 64)))
+    judged = raw_objects.present(judged, f"{folder}/raw")
     # written once: four tables are made of it
-    judged = admitted(captures)
     work = f"{folder}/data/_judged/{uuid.uuid4().hex}"
     judged.write.parquet(work)
     judged = spark.read.schema(judged.schema).parquet(work)
+    material = F.coalesce("payload.text", "payload.html")
+    unavailable = F.when(ref.isNotNull() & ~F.col("stored"), "capture_material_unavailable")
+    judged = judged.withColumn("route_error", F.coalesce("route_error", unavailable))
     refused = judged.where("size(errors) > 0 or route_error is not null")
     good = judged.where("size(errors) = 0 and route_error is null")
-    material = F.coalesce("payload.text", "payload.html")
-    known = good.where(F.col("processor").isin("text@0.2", "webpage@0.1")).where(material.isNotNull())
-    store.put(known.select(F.encode(material, "UTF-8").alias("content")), f"{folder}/raw")
-    contents = text_contents(known.where("payload.type = 'text'")).union(web_contents(known.where("payload.type = 'webpage' and payload.html is not null")))
-    out = {"contents": snapshots.part(contents.where("status = 'complete'"), folder, "contents", "capture_id")}
-    have = snapshots.rows_of(spark, folder, out["contents"]).select(F.col("capture_id").alias("id")).distinct().withColumn("_has", F.lit(True))
-    ended = known.select("id").join(have, "id", "left")
+    known = good.where(F.col("processor").isin(*readers)).where(material.isNotNull() | F.col("stored"))
+    store.put(known.where(material.isNotNull()).select(F.encode(material, "UTF-8").alias("content")), f"{folder}/raw")
+    contents = None
+    for name, read in readers.items():
+        made = wide(read(known.where(F.col("processor") == name)))
+        contents = made if contents is None else contents.unionByName(made)
+    out = {"contents": snapshots.part(contents, folder, "contents", "capture_id")}
+    ends = snapshots.rows_of(spark, folder, out["contents"]).groupBy(F.col("capture_id").alias("id")).agg(F.max(F.col("status") == "complete").alias("_has"), F.max("error").alias("_error"))
+    ended = known.select("id").join(ends, "id", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
     states = _states(known, "received", 0).union(_states(known, "stored", 1)).union(_states(known, "processing", 2))
-    states = states.union(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(F.col("_has").isNull(), "processing_failed")))
+    states = states.union(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(~F.col("_has"), F.coalesce("_error", F.lit("processing_failed")))))
     out["states"] = snapshots.part(states, folder, "states", "id")
     told = refused.select("id", F.to_json("errors").alias("errors"), F.col("route_error").cast("string").alias("route_error"))
     return out | {"refusals": snapshots.part(told, folder, "refusals", "id")}
@@ -71,7 +95,9 @@ def table(spark: SparkSession, folder: str, name: str, ids: DataFrame | None = N
     """states, contents or refusals as of the last version; of the given ids (a column named as
     the table's key), found in their buckets, or of all."""
     key = "capture_id" if name == "contents" else "id"
-    return snapshots.read(spark, folder, name) if ids is None else snapshots.lookup(spark, folder, name, ids, key)
+    out = snapshots.read(spark, folder, name) if ids is None else snapshots.lookup(spark, folder, name, ids, key)
+    # what a failed capture's processor told is kept, but is no content
+    return out if out is None or name != "contents" else out.where("status = 'complete'")
 
 
 def illegal(states: DataFrame) -> DataFrame:

@@ -260,3 +260,19 @@ def present(refs: DataFrame, path: str, digest_col: str = "digest") -> DataFrame
     asked = refs.select(F.col(digest_col).alias("_d")).where("_d is not null").distinct().repartition(F.substring("_d", 1, WIDTH)).sortWithinPartitions("_d")
     told = asked.mapInArrow(run, "_d string, stored boolean")
     return refs.join(told, F.col(digest_col) == F.col("_d"), "left").withColumn("stored", F.coalesce("stored", F.lit(False))).drop("_d")
+
+
+def contents_of(refs: DataFrame, path: str, digest_col: str = "digest") -> DataFrame:
+    """(digest, content) of the stored ones among refs, verified; each task opens the shards of its
+    digests alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reader = _Reader(path, True)
+            reader.digests = set(batch.column(0).to_pylist())
+            for part in reader.partitions():
+                for found in reader.read(part):
+                    yield found.select(["digest", "content"])
+
+    asked = refs.select(F.col(digest_col).alias("digest")).where("digest is not null").distinct().repartition(F.substring("digest", 1, WIDTH)).sortWithinPartitions("digest")
+    return asked.mapInArrow(run, "digest string, content binary")
