@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import schema
@@ -13,7 +13,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import projections, queue, timeline, validate, word_errors
 from corpusloom.operators.route import matches, routed
 from corpusloom.plans import contents, render
-from corpusloom.sources import store, visible_html
+from corpusloom.sources import folders, raw_objects, store, visible_html
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -34,6 +34,18 @@ def _query(*names: str, sql: str | None = None):
     return add
 
 
+def _stream_query(sql: str | None = None):
+    """Registers f(spark, sf_dir), which runs a stream over a table's files and gives what it wrote."""
+
+    def add(f):
+        _FOUND[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_FOUND)
 
@@ -42,6 +54,23 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Lines numbered within their order (their own numbers may repeat), and packets made of them: some
+#: are late by 1.5 ms, 10 ms or half a second.
+_LINES = "x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n FROM lineitem)"
+_PACKETS = f"{_LINES}, p AS (SELECT l_orderkey AS id, CASE WHEN n <= 4 THEN 0 ELSE 1 END AS stream, n, n + CASE l_partkey % 11 WHEN 0 THEN 15e-4 WHEN 1 THEN 1e-2 WHEN 2 THEN 5e-1 ELSE 0e0 END AS pts, CASE WHEN n <= 4 THEN CAST(l_quantity AS INT) END AS pixels FROM x), g AS (SELECT *, pts - lag(pts) OVER w AS step, abs(pts - lag(pts + 1e0) OVER w) AS gap FROM p WINDOW w AS (PARTITION BY id, stream ORDER BY n))"
+
+
+def _lines(lineitem: DataFrame) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return lineitem.withColumn("n", F.row_number().over(order))
+
+
+def _packets(lineitem: DataFrame) -> DataFrame:
+    late = F.get(F.array(*map(F.lit, (0.0015, 0.01, 0.5))), (F.col("l_partkey") % 11).cast("int"))
+    first = F.col("n") <= 4
+    return _lines(lineitem).select(F.col("l_orderkey").alias("id"), F.when(first, 0).otherwise(1).alias("stream"), "n", (F.col("n") + F.coalesce(late, F.lit(0.0))).alias("pts"), F.lit(1.0).alias("duration"), F.when(first, F.col("l_quantity").cast("int")).alias("pixels"))
+
+
 # Sources and sinks
 
 
@@ -55,6 +84,34 @@ def raw_store_dedup(documents):
     return store.copies(documents, "doc_id", "text")
 
 
+@_query("documents", sql="SELECT sha256(t) AS digest, substr(sha256(t), 1, 2) AS shard, CAST(octet_length(encode(t)) AS BIGINT) AS length FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)")
+def raw_store_roundtrip(documents):
+    """English texts are stored first, then all of them: what is there isn't written again, and all
+    is read back and verified."""
+    spark, path = documents.sparkSession, folders.shared(documents.sparkSession, "raw-objects")
+    content = documents.select("lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    store.put(content.where("lang = 'en'"), path)
+    store.put(content, path)
+    return raw_objects.scan(spark, path).select("digest", "shard", "length", "content").drop("content")
+
+
+@_query(
+    "documents",
+    sql="SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'refused' ELSE 'complete' END AS status FROM documents",
+)
+def ingest_states(documents):
+    """Captures of German first, then of all languages, as two versions; where each of them ended."""
+    from corpusloom.plans import lifecycle
+
+    spark, folder = documents.sparkSession, folders.shared(documents.sparkSession, "ingest")
+    captures = contents.envelopes(documents, F.col("doc_id"), "text", text=F.col("text"))
+    german = documents.where("lang = 'de'").select(F.col("doc_id").cast("string").alias("id"))
+    lifecycle.ingest(captures.join(german, "id", "left_semi"), folder, "batches", 0)
+    lifecycle.ingest(captures, folder, "batches", 1)
+    ended = lifecycle.table(spark, folder, "states").where("step = 3").select("id", "status")
+    return ended.union(lifecycle.table(spark, folder, "refusals").select("id", F.lit("refused").alias("status")))
+
+
 @_query("documents", sql="SELECT sha256(text) AS digest, substr(sha256(text), 1, 2) AS shard FROM documents GROUP BY 1, 2")
 def store_layout(documents):
     return store.objects(documents.select(F.encode("text", "UTF-8").alias("content"))).select("digest", "shard")
@@ -216,10 +273,20 @@ def unknown_fields(events):
     return events.select("event_id", validate.unknown_fields(F.col("props"), ["k"]).alias("unknown"))
 
 
-@_query(sql="SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in schema.ERRORS.items()) + ") t(code, status)")
-def error_codes(*_):
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([*schema.ERRORS.items()], "code string, status int")
+#: What the oracle of error_codes holds the table of errors against.
+_STATUSES = """('capture_already_exists', 409), ('content_conflict', 409), ('invalid_capture_state', 409), ('not_found', 404), ('unsupported_payload', 422),
+('invalid_capture_envelope', 422), ('processing_failed', 422), ('capture_material_unavailable', 422), ('processing_configuration_error', 500), ('data_integrity_error', 500),
+('storage_unavailable', 503), ('ocr_unavailable', 503), ('image_ocr_unavailable', 503), ('media_probe_unavailable', 503), ('invalid_request', 422), ('queue_full', 429),
+('operation_not_found', 404), ('operation_conflict', 409), ('operation_history_full', 507), ('result_not_ready', 409), ('destination_not_found', 404), ('delivery_not_found', 404),
+('asset_not_found', 404), ('markdown_too_large', 413), ('package_too_large', 413), ('delivery_history_full', 507)"""
+_CODES = "list_value('capture_already_exists', 'content_conflict', 'invalid_capture_state', 'not_found', 'unsupported_payload', 'invalid_capture_envelope', 'processing_failed', 'capture_material_unavailable', 'processing_configuration_error', 'data_integrity_error', 'storage_unavailable', 'ocr_unavailable', 'image_ocr_unavailable', 'media_probe_unavailable', 'invalid_request', 'queue_full', 'operation_not_found', 'operation_conflict', 'operation_history_full', 'result_not_ready', 'destination_not_found', 'delivery_not_found', 'asset_not_found', 'markdown_too_large', 'package_too_large', 'delivery_history_full', 'no_code')"
+
+
+@_query("orders", sql=f"SELECT o_orderkey, code, coalesce(status, 503) AS status FROM (SELECT o_orderkey, {_CODES}[1 + o_orderkey % 27] AS code FROM orders) LEFT JOIN (VALUES {_STATUSES}) t(code, status) USING (code)")
+def error_codes(orders):
+    """The status of the code that each order's failure has; a code that isn't known is 503."""
+    code = F.get(F.array(*map(F.lit, [*schema.ERRORS, "no_code"])), (F.col("o_orderkey") % (len(schema.ERRORS) + 1)).cast("int"))
+    return orders.select("o_orderkey", code.alias("code")).withColumn("status", schema.status_of(F.col("code")))
 
 
 # Joins
@@ -370,6 +437,25 @@ def lease_rules(events):
     return events.select("event_id", claim.alias("claim"), finish.alias("finish"))
 
 
+@_stream_query(
+    "WITH a AS (SELECT CAST(c_nationkey AS VARCHAR) AS queue, CAST(c_custkey % 40 AS VARCHAR) AS id, c_mktsegment AS request, c_custkey AS seq FROM customer), f AS (SELECT queue, id, min(seq) AS first, arg_min(request, seq) AS was FROM a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY first) AS n FROM f) SELECT queue, id, seq, CASE WHEN n > 9 THEN 'queue_full' WHEN seq = first THEN 'queued' WHEN request = was THEN 'existing' ELSE 'operation_conflict' END AS outcome FROM a JOIN r USING (queue, id)"
+)
+def register_stream(spark, sf_dir):
+    """Customers ask for operations, as a stream; each nation is a register with nine places."""
+    from corpusloom.streaming import registers
+
+    path = folders.shared(spark, "register-stream")
+    null = F.lit(None).cast("string")
+    asked = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/customer.parquet").schema).parquet(f"{sf_dir}/customer.parquet*").select(
+        F.col("c_nationkey").cast("string").alias("queue"), F.lit("register").alias("action"), (F.col("c_custkey") % 40).cast("string").alias("id"), F.col("c_mktsegment").alias("request"),
+        F.lit(None).cast("long").alias("token"), null.alias("refused"), F.col("c_custkey").alias("seq"), F.lit(None).cast("timestamp").alias("at"),
+    )
+    out = registers.outcomes(asked, capacity=9, history=17, clock="none").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    run = out.trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("queue", "id", "seq", "outcome")
+
+
 @_query("orders", sql="SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'complete' ELSE 'interrupted' END AS state FROM orders")
 def queue_reconcile(orders):
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "complete").otherwise("processing")
@@ -433,7 +519,8 @@ def json_props(events):
 
 @_query("nation", sql="SELECT n_nationkey, concat('{\"a_name\":\"', n_name, '\",\"b_region\":', CAST(n_regionkey AS VARCHAR), ',\"c_none\":null}') AS json FROM nation")
 def json_render(nation):
-    return nation.select("n_nationkey", render.json(F.struct(F.col("n_name").alias("a_name"), F.col("n_regionkey").alias("b_region"), F.lit(None).cast("string").alias("c_none"))).alias("json"))
+    record = nation.select("n_nationkey", F.struct(F.col("n_name").alias("a_name"), F.col("n_regionkey").alias("b_region"), F.lit(None).cast("string").alias("c_none")).alias("r"))
+    return record.select("n_nationkey", render.json(F.col("r"), record.schema["r"].dataType).alias("json"))
 
 
 @_query("documents", sql="SELECT doc_id, concat('# ', source, chr(10), chr(10), text) AS markdown FROM documents")
@@ -496,9 +583,121 @@ def wer_scores(benchmark):
     return word_errors.scored(benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("reference"), heard.alias("heard")))
 
 
+_HEARD = "h AS (SELECT item_id AS id, item_id % 3 AS phase, regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}]+') AS a FROM benchmark), e AS (SELECT id, phase, len(a) AS n, len(list_filter(range(len(a)), lambda i: i % 5 = 4)) AS s, 0 AS d, len(list_filter(range(len(a)), lambda i: i % 7 = 3)) AS i FROM h)"
+
+
+def _misheard(benchmark: DataFrame) -> DataFrame:
+    """Each item with every fifth word another one and a word put in after every seventh."""
+    words = tx.wer_words(F.col("text"))
+    heard = F.transform(words, lambda w, i: F.concat(F.when(i % 5 == 4, F.concat(F.lit("zzq"), i.cast("string"))).otherwise(w), F.when(i % 7 == 3, F.lit(" qqz")).otherwise("")))
+    return word_errors.scored(benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("reference"), F.array_join(heard, " ").alias("heard")))
+
+
+@_query("benchmark", sql=f"WITH {_HEARD} SELECT id, n, s, d, i FROM e")
+def wer_errors(benchmark):
+    """Substitutions and insertions: none of the other words is one of the item's, so the cheapest
+    alignment is known."""
+    return _misheard(benchmark)
+
+
+@_query("benchmark", sql=f"WITH {_HEARD} SELECT phase, CAST(sum(n) AS BIGINT) AS words, CAST(sum(s + d + i) AS BIGINT) AS errors, CASE WHEN sum(n) > 0 THEN round(sum(s + d + i) / sum(n), 9) END AS wer FROM e GROUP BY 1")
+def wer_pooled(benchmark):
+    return word_errors.pooled(_misheard(benchmark).withColumn("phase", F.col("id") % 3), "phase").withColumn("wer", F.round("wer", 9))
+
+
 # Deliveries, packets and transcripts
 
 
+@_query(
+    "orders",
+    "lineitem",
+    "part",
+    sql="SELECT l_orderkey AS delivery_id, l_linenumber, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) > 3 THEN 'too_many' WHEN p_partkey IS NULL THEN 'missing' WHEN octet_length(encode(p_name)) <> octet_length(encode(p_name)) + l_partkey % 2 THEN 'size' WHEN l_partkey % 3 = 0 THEN 'digest' END AS fault FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey WHERE o_orderstatus = 'F'",
+)
+def frame_attachments(orders, lineitem, part):
+    """At most three frames a delivery, and their bytes hashed again: every third part's are spoilt."""
+    from corpusloom.operators.deliveries import attachments
+
+    name, spoilt = F.encode("p_name", "UTF-8"), F.encode(F.reverse("p_name"), "UTF-8")
+    stored = part.where("p_size > 10").select("p_partkey", F.sha2(F.concat(name, F.encode(F.col("p_partkey").cast("string"), "UTF-8")), 256).alias("digest"), F.octet_length(name).alias("length"), F.concat(F.when(F.col("p_partkey") % 3 == 0, spoilt).otherwise(name), F.encode(F.col("p_partkey").cast("string"), "UTF-8")).alias("content"))
+    deliveries = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("delivery_id"))
+    refs = part.select("p_partkey", F.sha2(F.concat(name, F.encode(F.col("p_partkey").cast("string"), "UTF-8")), 256).alias("digest"), F.octet_length(name).alias("size"))
+    assets = lineitem.join(refs, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("delivery_id"), "l_linenumber", "digest", (F.col("size") + F.col("l_partkey") % 2).cast("int").alias("size"))
+    return attachments(deliveries, assets, stored.drop("p_partkey"), most=3).select("delivery_id", "l_linenumber", "fault")
+
+
+@_query(
+    "events",
+    sql="WITH a AS (SELECT user_id % 20 AS client, event_id, event_type, CAST(round(value) AS BIGINT) % 40 AS lang FROM events), f AS (SELECT client, event_type, lang, min(event_id) AS first FROM a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY first) AS n, least(count(*) OVER (PARTITION BY client), 50) AS kept FROM f) SELECT event_id, CASE WHEN n > 50 THEN 'history_full' WHEN event_id = first THEN 'accepted' ELSE 'existing' END AS outcome, CASE WHEN n <= 50 THEN first END AS kept_job, CASE WHEN n <= 50 AND event_id = first THEN kept - n + 1 END AS place FROM a JOIN r USING (client, event_type, lang)",
+)
+def client_jobs(events):
+    from corpusloom.operators import deliveries
+
+    asked = events.select((F.col("user_id") % 20).alias("client"), "event_id", "event_type", (F.round("value").cast("long") % 40).alias("lang"), F.col("event_id").alias("seq"))
+    return deliveries.client_jobs(asked, "client", "event_id", ["event_type", "lang"], "seq").select("event_id", "outcome", "kept_job", "place")
+
+
+@_query(
+    "lineitem",
+    "orders",
+    sql=f"""WITH {_LINES}, r AS (SELECT l_orderkey AS id, n, CASE n % 3 WHEN 1 THEN 'GET' WHEN 2 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN l_suppkey % 17 = 0 THEN '/else' WHEN n % 3 = 1 THEN '/watch' WHEN n % 3 = 2 THEN '/youtubei/v1/player' ELSE '/api/timedtext' END AS path,
+CASE WHEN l_partkey % 19 = 0 THEN 302 WHEN l_partkey % 19 = 1 THEN 429 WHEN l_partkey % 19 = 2 THEN 500 ELSE 200 END AS status, CAST(l_quantity * 90000 AS BIGINT) AS bytes, CASE WHEN l_partkey % 23 = 0 THEN 50.0 ELSE n * 1.0 END AS seconds FROM x),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS i, sum(bytes) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS total FROM r),
+e AS (SELECT *, CASE WHEN path = '/else' THEN 'destination_denied' WHEN i > 3 THEN 'request_limit' WHEN seconds > 45 THEN 'timeout' WHEN status BETWEEN 300 AND 399 THEN 'redirect_denied' WHEN status IN (401, 403, 429) THEN 'request_blocked' WHEN status <> 200 THEN 'http_error' WHEN bytes > CASE WHEN path = '/api/timedtext' THEN 2097152 ELSE 4194304 END OR total > 10485760 THEN 'response_limit' END AS error FROM w WHERE i <= 4),
+b AS (SELECT id, arg_min(error, i) FILTER (WHERE error IS NOT NULL) AS error, min(i) FILTER (WHERE error IS NOT NULL) AS stop_at, count(*) AS c, max(total) AS n_bytes FROM e GROUP BY 1),
+t AS (SELECT l_orderkey AS id, CASE l_suppkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS code, l_partkey % 2 = 0 AS generated, n AS number FROM x WHERE l_returnflag <> 'R'),
+k AS (SELECT id, count(*) AS have, arg_min({{'code': code, 'generated': generated, 'number': number}}, {{'p': CASE code WHEN 'de' THEN 1 ELSE 2 END, 'g': generated, 'n': number}}) FILTER (WHERE code IN ('de', 'en')) AS trk FROM t GROUP BY 1),
+o AS (SELECT o_orderkey AS id, CASE WHEN b.error IS NOT NULL THEN b.error WHEN have IS NULL THEN 'captions_unavailable' WHEN trk IS NULL THEN 'language_unavailable' END AS error, trk, stop_at, c, n_bytes FROM orders LEFT JOIN b ON b.id = o_orderkey LEFT JOIN k ON k.id = o_orderkey)
+SELECT id, error, CASE WHEN error IS NULL THEN trk.code END AS code, CASE WHEN error IS NULL THEN trk.generated END AS generated, CASE WHEN error IS NULL THEN trk.number END AS number, coalesce(least(c, coalesce(stop_at, 3)), 0) AS n_requests, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes FROM o""",
+)
+def caption_acquisition(lineitem, orders):
+    """Each order is a request, its lines are the responses, and some of them tracks."""
+    from corpusloom.operators.acquisition import acquired
+
+    lineitem = _lines(lineitem)
+    n, kind, part = F.col("n"), F.col("n") % 3, F.col("l_partkey")
+    path = F.when(F.col("l_suppkey") % 17 == 0, "/else").when(kind == 1, "/watch").when(kind == 2, "/youtubei/v1/player").otherwise("/api/timedtext")
+    status = F.when(part % 19 == 0, 302).when(part % 19 == 1, 429).when(part % 19 == 2, 500).otherwise(200)
+    responses = lineitem.select(F.col("l_orderkey").alias("id"), n.alias("n"), F.when(kind == 2, "POST").otherwise("GET").alias("method"), path.alias("path"), status.alias("status"), (F.col("l_quantity") * 90000).cast("long").alias("bytes"), F.when(part % 23 == 0, 50.0).otherwise(n * 1.0).alias("seconds"))
+    code = F.when(F.col("l_suppkey") % 4 == 0, "en").when(F.col("l_suppkey") % 4 == 1, "de").otherwise("fr")
+    tracks = lineitem.where("l_returnflag != 'R'").select(F.col("l_orderkey").alias("id"), code.alias("code"), (part % 2 == 0).alias("generated"), n.alias("number"))
+    requests = orders.select(F.col("o_orderkey").alias("id"), F.array(F.lit("de"), F.lit("en")).alias("languages"))
+    return acquired(requests, responses, tracks)
+
+
+@_query(
+    "events",
+    sql="WITH r AS (SELECT user_id, list_value('waiting', 'extracting', 'transcribing', 'frame_1', 'frame_2', 'frame_3', 'saving', 'other')[1 + (event_id * 7 + user_id) % 8] AS stage, value FROM events), p AS (SELECT *, nullif(list_position(list_value('waiting', 'extracting', 'transcribing', 'frame_1', 'frame_2', 'frame_3', 'saving'), stage), 0) AS rung FROM r) SELECT user_id, arg_max(stage, rung) FILTER (WHERE rung IS NOT NULL) AS stage, count(*) FILTER (WHERE rung IS NOT NULL) AS reports, count(*) FILTER (WHERE rung IS NULL) AS refused, max(value) AS value FROM p GROUP BY 1",
+)
+def work_progress(events):
+    from corpusloom.operators import progress
+
+    stage = F.get(F.array(*map(F.lit, [*progress.STAGES, "other"])), ((F.col("event_id") * 7 + F.col("user_id")) % 8).cast("int"))
+    return progress.merged(events.select("user_id", stage.alias("stage"), "value"), "user_id", progress.STAGES, "value")
+
+
+@_query("orders", sql="SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'payload_type' WHEN o_orderkey % 5 = 0 THEN 'no_raw_object' WHEN o_orderkey % 3 = 0 THEN 'no_reference' WHEN o_orderkey % 11 = 0 THEN 'no_mime_type' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'mime_type_not_read' END AS fault FROM orders")
+def media_preconditions(orders):
+    k = F.col("o_orderkey")
+    gone = lambda n, c: F.when(k % n != 0, c)
+    fault = validate.media_precondition(F.when(k % 7 == 0, "image").otherwise("audio"), "audio", gone(5, k), gone(3, F.lit("sha256:")), gone(11, F.col("o_orderpriority")), ("1-URGENT", "2-HIGH"))
+    return orders.select("o_orderkey", fault.alias("fault"))
+
+
+@_query(
+    "orders",
+    sql="SELECT o_orderkey, CASE k WHEN 0 THEN 'text@0.2' WHEN 1 THEN 'pdf-ocr@0.1' WHEN 2 THEN 'image-ocr@0.1' WHEN 3 THEN 'transcription@0.1' WHEN 4 THEN 'video-notes@0.1' WHEN 5 THEN 'captions@0.1' END AS processor, CASE k WHEN 6 THEN 'no_processor' END AS error, CASE WHEN k = 1 THEN 'ambiguous: pdf@0.1, pdf-ocr@0.1' WHEN k = 2 THEN 'ambiguous: image@0.1, image-ocr@0.1' WHEN k = 3 THEN 'ambiguous: audio@0.1, transcription@0.1' WHEN k = 4 THEN 'ambiguous: video@0.1, video-notes@0.1' WHEN k = 6 THEN 'no_processor' END AS with_all FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)",
+)
+def router_deployments(orders):
+    from corpusloom.operators import route
+
+    k = (F.col("o_orderkey") % 7).cast("int")
+    kind = F.get(F.array(*map(F.lit, ("text", "document", "image", "audio", "video", "file", "document"))), k)
+    mime = F.get(F.array(*map(F.lit, ("", "application/pdf", "image/png", "audio/wav", "video/mp4", route.CAPTION_MIME, "application/x"))), k)
+    one, every = routed(matches(kind, mime, route.deployment(*route.OTHERS))), routed(matches(kind, mime, route.PROCESSORS | route.OTHERS))
+    return orders.select("o_orderkey", one["processor"].alias("processor"), one["error"].alias("error"), every["error"].alias("with_all"))
+
+
 @_query("documents", sql="SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'name' WHEN doc_id % 3 = 0 THEN 'digest' END AS error FROM documents")
 def delivery_check(documents):
     from corpusloom.operators.deliveries import delivery_error
@@ -528,13 +727,44 @@ def delivery_attachments(orders, lineitem, part):
 
 
 @_query(
-    "events",
-    sql="WITH e AS (SELECT user_id, epoch_us(ts) AS pts, epoch_us(ts) + 10 AS e, event_id FROM events), g AS (SELECT *, pts - lag(pts) OVER w AS step, abs(pts - lag(e) OVER w) AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pts, event_id)) SELECT user_id, coalesce(bool_and(step > 0), true) AS rising, coalesce(bool_and(gap <= 1e12), true) AS gaps_ok, abs(min(pts) - 1.7e15) <= 1e13 AS starts_ok, abs(max(e) - 1.7e15) <= 1e13 AS ends_ok, count(*) AS frames FROM g GROUP BY 1",
+    "lineitem",
+    sql=f"WITH {_PACKETS} SELECT id, stream, coalesce(bool_and(step > 0), true) AS rising, coalesce(bool_and(gap <= 0.002), true) AS gaps_ok, abs(min(pts) - 1) <= 0.002 AS starts_ok, abs(max(pts + 1e0) - 5) <= 0.05 AS ends_ok FROM g GROUP BY 1, 2",
+)
+def stream_timelines(lineitem):
+    packets = _packets(lineitem).withColumn("end", F.col("pts") + F.col("duration"))
+    return timeline.stream_faults(packets, ["id", "stream"], ["n"], 1.0, 5.0)
+
+
+@_query(
+    "lineitem",
+    sql=f"""WITH {_PACKETS}, t AS (SELECT id, stream, CASE WHEN id % 13 = 0 AND stream = 1 THEN NULL ELSE min(n) + CASE WHEN id % 5 = 0 THEN 3e-3 ELSE 0e0 END END AS start, count(*) + CASE WHEN id % 7 = 0 THEN 1e-1 ELSE 0e0 END AS duration FROM p GROUP BY 1, 2),
+s AS (SELECT id, min(start) AS origin, max(start + duration) AS z, bool_and(coalesce(start IS NOT NULL AND duration > 0, false)) AS fine FROM t GROUP BY 1),
+a AS (SELECT id, stream, count(*) AS frames, CAST(coalesce(sum(pixels), 0) AS BIGINT) AS pixels, coalesce(bool_and(step > 0), true) AS rising, coalesce(bool_and(gap <= 0.002), true) AS gaps_ok, arg_min(pts, n) AS f, max(pts + 1e0) AS l FROM g GROUP BY 1, 2),
+r AS (SELECT t.id, t.stream, origin, z - origin AS length, frames, pixels, rising, gaps_ok, abs(f - start) <= 0.002 AS starts_ok, abs(l - (start + duration)) <= 0.05 AS ends_ok, fine FROM t JOIN s USING (id) JOIN a ON a.id = t.id AND a.stream = t.stream)
+SELECT id, stream, round(origin, 6) AS origin, round(length, 6) AS length, frames, pixels, rising, gaps_ok, starts_ok, ends_ok, CASE WHEN NOT fine THEN 'unsupported_timing' WHEN length <= 0 OR length > 120 THEN 'duration_limit' WHEN NOT rising THEN 'unsupported_timing' WHEN NOT coalesce(starts_ok, false) THEN 'inconsistent_timing' WHEN NOT gaps_ok THEN 'unsupported_timing' WHEN NOT ends_ok THEN 'inconsistent_timing' END AS fault FROM r""",
 )
-def stream_timelines(events):
-    packets = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pts")).withColumn("end", F.col("pts") + 10)
-    faults = timeline.stream_faults(packets, ["user_id"], ["pts", "event_id"], 1.7e15, 1.7e15, gap=1e12, first=1e13, last=1e13)
-    return faults.join(packets.groupBy("user_id").agg(F.count("*").alias("frames")), "user_id")
+def container_timelines(lineitem):
+    packets = _packets(lineitem)
+    off, more = F.when(F.col("id") % 5 == 0, 0.003).otherwise(0.0), F.when(F.col("id") % 7 == 0, 0.1).otherwise(0.0)
+    tracks = packets.groupBy("id", "stream").agg(F.min("n").alias("_n"), F.count("*").alias("_c"))
+    tracks = tracks.select("id", "stream", F.when(~((F.col("id") % 13 == 0) & (F.col("stream") == 1)), F.col("_n") + off).alias("start"), (F.col("_c") + more).alias("duration"))
+    return timeline.container_timelines(tracks, packets, "id", "stream").withColumns({"origin": F.round("origin", 6), "length": F.round("length", 6)})
+
+
+@_query(
+    "lineitem",
+    sql=f"WITH {_PACKETS}, u AS (SELECT id, stream, n, CAST(coalesce(sum(pixels) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS used_pixels, count(*) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS used_packets, count(*) OVER (PARTITION BY id, stream ORDER BY n ROWS UNBOUNDED PRECEDING) AS used_frames, pixels FROM p) SELECT id, n, used_pixels, used_packets, used_frames, CASE WHEN used_pixels > 90 OR used_frames > CASE WHEN pixels IS NULL THEN 2 ELSE 3 END OR used_packets > 6 THEN 'decode_budget_exceeded' END AS fault FROM u",
+)
+def container_budgets(lineitem):
+    out = timeline.container_budgets(_packets(lineitem), "id", "stream", pixels=90, video_frames=3, audio_frames=2, most=6)
+    return out.select("id", "n", "used_pixels", "used_packets", "used_frames", "fault")
+
+
+@_query("events", sql="SELECT event_id, sum(round(value * 100)) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS used, sum(round(value * 100)) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) <= 1000000 AS within FROM events")
+def long_stream_budget(events):
+    """A few keys have all rows: each is cut into ranges of 1000 of its order."""
+    df = timeline.within_budget(events.withColumn("cents", F.round(F.col("value") * 100)), ["event_type"], ["event_id"], "cents", 1_000_000, F.floor(F.col("event_id") / 1000))
+    return df.select("event_id", "used", "within")
 
 
 @_query("conversations", sql="SELECT conv_id, CASE WHEN bool_or(turn = 3) THEN 'duration' WHEN conv_id % 2 = 1 THEN 'outcome' END AS error FROM conversations GROUP BY conv_id")

@@ -28,12 +28,18 @@ def submission_outcome(status: Column, same_id: Column, has_error: Column) -> Co
     return F.when(status.isin(200, 201) & F.coalesce(same_id, F.lit(False)), "complete").when(~status.between(200, 299) & F.coalesce(has_error, F.lit(False)), "server_error").otherwise("protocol_error")
 
 
-def attachments(deliveries: DataFrame, assets: DataFrame, stored: DataFrame) -> DataFrame:
-    """assets (delivery_id, digest, size) of the deliveries with fault: missing, size or null."""
-    known = stored.select("digest", F.col("length").alias("_length"))
+def attachments(deliveries: DataFrame, assets: DataFrame, stored: DataFrame, most: int | None = None) -> DataFrame:
+    """assets (delivery_id, digest, size) of the deliveries with fault: too_many (where a delivery
+    has over `most`), missing, size, digest (if stored has content, it is hashed again) or null."""
+    digest = F.when(F.col("content").isNotNull(), F.sha2("content", 256)) if "content" in stored.columns else F.lit(None).cast("string")
+    known = stored.select("digest", F.col("length").alias("_length"), digest.alias("_again"))
     joined = deliveries.select("delivery_id").join(assets, "delivery_id").join(known, "digest", "left")
-    fault = F.when(F.col("_length").isNull(), "missing").when(F.col("_length") != F.col("size"), "size")
-    return joined.withColumn("fault", fault).drop("_length")
+    fault = F.when(F.col("_length").isNull(), "missing").when(F.col("_length") != F.col("size"), "size").when(F.col("_again") != F.col("digest").cast("string"), "digest")
+    if most is not None:
+        counts = assets.groupBy("delivery_id").agg(F.count("*").alias("_n"))
+        joined = joined.join(counts, "delivery_id")
+        fault = F.when(F.col("_n") > most, "too_many").otherwise(fault)
+    return joined.withColumn("fault", fault).drop("_length", "_again", "_n")
 
 
 def image_agrees(content: Column, mime: Column, pixels: Column) -> Column:
@@ -79,6 +85,23 @@ def client_history(jobs: DataFrame, key: list[str], seq: str, cap: int = CLIENT_
     return jobs.withColumn("accepted", F.row_number().over(Window.partitionBy(*key).orderBy(seq)) <= cap)
 
 
+def client_jobs(asked: DataFrame, client: str, job: str, same: list[str], seq: str, cap: int = CLIENT_HISTORY) -> DataFrame:
+    """asked with outcome, kept_job and place. A request for what a client has asked for before (the
+    same columns) is existing and gets the job of the first; new ones are accepted while the
+    history has room and then told history_full, as nothing is forgotten. place counts a
+    client's accepted jobs from the newest, 1; null for others."""
+    first = asked.groupBy(client, *same).agg(F.min(seq).alias("_first"), F.min_by(job, seq).alias("_job"))
+    order = Window.partitionBy(client).orderBy("_first")
+    first = first.withColumn("_n", F.row_number().over(order)).withColumn("_kept", F.least(F.count("*").over(Window.partitionBy(client)), F.lit(cap)))
+    names = {c: f"_k{i}" for i, c in enumerate((client, *same))}
+    first = first.withColumnsRenamed(names)
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    df = asked.join(first, on, "left")
+    fits, new = F.col("_n") <= cap, F.col(seq) == F.col("_first")
+    outcome = F.when(~fits, "history_full").when(new, "accepted").otherwise("existing")
+    return df.select(*asked.columns, outcome.alias("outcome"), F.when(fits, F.col("_job")).alias("kept_job"), F.when(fits & new, F.col("_kept") - F.col("_n") + 1).alias("place"))
+
+
 def new_for_receiver(deliveries: DataFrame, journal: DataFrame) -> DataFrame:
     """What a receiver hasn't written yet; a journal entry with another digest is a conflict."""
     seen = journal.select("delivery_id", F.col("sha256").alias("_was"))

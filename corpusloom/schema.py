@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # fixed values: the versions that are known, as a set, and the closed vocabularies
 VERSIONS = ("0.1", "0.2", "0.3")
 SOURCES = ("browser", "filesystem", "upload", "api")
@@ -56,7 +59,9 @@ ERRORS = {
     "media_probe_unavailable": 503,
     "invalid_request": 422,
     "queue_full": 429,
-    "history_full": 507,
+    "operation_not_found": 404,
+    "operation_conflict": 409,
+    "operation_history_full": 507,
     "result_not_ready": 409,
     "destination_not_found": 404,
     "delivery_not_found": 404,
@@ -65,3 +70,10 @@ ERRORS = {
     "package_too_large": 413,
     "delivery_history_full": 507,
 }
+#: The status of a code that isn't listed.
+OTHER_STATUS = 503
+
+
+def status_of(code: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), F.lit(OTHER_STATUS))
