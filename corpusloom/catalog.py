@@ -648,7 +648,7 @@ b AS (SELECT id, arg_min(error, i) FILTER (WHERE error IS NOT NULL) AS error, mi
 t AS (SELECT l_orderkey AS id, CASE l_suppkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END AS code, l_partkey % 2 = 0 AS generated, n AS number FROM x WHERE l_returnflag <> 'R'),
 k AS (SELECT id, count(*) AS have, arg_min({{'code': code, 'generated': generated, 'number': number}}, {{'p': CASE code WHEN 'de' THEN 1 ELSE 2 END, 'g': generated, 'n': number}}) FILTER (WHERE code IN ('de', 'en')) AS trk FROM t GROUP BY 1),
 o AS (SELECT o_orderkey AS id, CASE WHEN b.error IS NOT NULL THEN b.error WHEN have IS NULL THEN 'captions_unavailable' WHEN trk IS NULL THEN 'language_unavailable' END AS error, trk, stop_at, c, n_bytes FROM orders LEFT JOIN b ON b.id = o_orderkey LEFT JOIN k ON k.id = o_orderkey)
-SELECT id, error, CASE WHEN error IS NULL THEN trk.code END AS code, CASE WHEN error IS NULL THEN trk.generated END AS generated, CASE WHEN error IS NULL THEN trk.number END AS number, coalesce(least(c, coalesce(stop_at, 3)), 0) AS n_requests, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes FROM o""",
+SELECT id, error, CASE WHEN error IS NULL THEN trk.code END AS code, CASE WHEN error IS NULL THEN trk.generated END AS generated, CASE WHEN error IS NULL THEN trk.number END AS number, CASE WHEN c IS NULL THEN 0 ELSE least(c, coalesce(stop_at, 3)) END AS n_requests, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes FROM o""",
 )
 def caption_acquisition(lineitem, orders):
     """Each order is a request, its lines are the responses, and some of them tracks."""

@@ -48,4 +48,4 @@ def acquired(requests: DataFrame, responses: DataFrame, tracks: DataFrame, key:
     error = F.coalesce("_error", F.when(F.col("_any").isNull(), "captions_unavailable").when(F.col("_t").isNull(), "language_unavailable"))
     ok = error.isNull()
     shown = {"error": error, "code": F.when(ok, F.col("_t.code")), "generated": F.when(ok, F.col("_t.generated")), "number": F.when(ok, F.col("_t.number"))}
-    return df.select(key, *[c.alias(n) for n, c in shown.items()], F.coalesce(F.least("n_requests", F.coalesce("_at", F.lit(REQUESTS))), F.lit(0)).cast("long").alias("n_requests"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"))
+    return df.select(key, *[c.alias(n) for n, c in shown.items()], F.when(F.col("n_requests").isNull(), 0).otherwise(F.least("n_requests", F.coalesce("_at", F.lit(REQUESTS)))).cast("long").alias("n_requests"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"))
