@@ -4,7 +4,8 @@ A tolerant reader builds the tree of elements, in a time that grows with the pag
 alone. Subtrees that their tag, role or class names as navigation, header, footer, sidebar,
 notice, advert, form or comments don't count. A class or id names so only if all its words do
 (with words of place, such as site or main), and only an element that doesn't hold an article
-(or, in a page without one, most of the text); headings and paragraphs are judged by words for adverts alone. For each
+(or, in a page without one, most of the text). What is named as comments never counts, articles
+too, and a notice only if it holds an article; headings and paragraphs are judged by words for adverts alone. For each
 node, characters per tag, adjusted for links, is its density; a node's density sum is that
 over its children. The node with the greatest sum holds the article; where a sibling on its
 way to the body is as dense as the sparsest node on that way (the threshold), or is a heading
@@ -52,6 +53,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar footer foot copyright sidebar aside rail widget widgets comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations toolbar toc skip".split()
 )
+#: Of those: what they name is comments, whatever it holds, and what is text only if it holds an article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+NOTICE_WORDS = frozenset("cookie cookies consent gdpr newsletter notice notices".split())
 #: Words that say nothing by themselves, beside those above.
 PLACE_WORDS = frozenset("site main page global primary secondary top bottom left right upper lower outer inner wrap wrapper container box block bar list item items panel area section slot unit group links link content body text region col column row js mobile desktop sticky fixed".split())
 #: Those that count for headings and paragraphs too.
@@ -85,17 +89,19 @@ class Node:
         self.inlines: dict[str, int] | None = {} if tag in BLOCK else None
 
 
-def _named(value: str, words: frozenset) -> bool:
-    """True if one of the names in the value is made of such words and words of place alone."""
+def _named(value: str, words: frozenset) -> set[str]:
+    """The words of those names in the value that are made of such words and words of place alone."""
+    found: set[str] = set()
     for name in html.unescape(value).split():
         own = [x.lower() for x in WORD.findall(name)]
         if not words.isdisjoint(own) and all(x in words or x in PLACE_WORDS or x.isdigit() for x in own):
-            return True
-    return False
+            found.update(own)
+    return found
 
 
 def _noise(tag: str, attributes: str, parent: Node) -> str:
-    """Why the element doesn't count: by its tag or role, by a name only, or not at all."""
+    """Why the element doesn't count: by its tag, its role or as comments ("tag"), as a notice, by
+    another name only, or not at all (empty)."""
     if tag in NOISE_TAGS:
         return "tag"
     if tag == "header":
@@ -104,14 +110,19 @@ def _noise(tag: str, attributes: str, parent: Node) -> str:
                 return ""
             parent = parent.parent
         return "tag"
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return ""
     words, found = ADVERTS if tag in TEXT_TAGS else NOISE_WORDS, ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if _named(value, words):
-                found = "name"
+            own = _named(value, words)
+            if own & COMMENT_WORDS:
+                return "tag"
+            if own and tag != "article":
+                found = "notice" if found == "notice" or own & NOTICE_WORDS else "name"
+        elif tag == "article":
+            continue
         elif name == "role" and value.strip().lower() in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return "tag"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -121,7 +132,8 @@ def _noise(tag: str, attributes: str, parent: Node) -> str:
 
 def _settle(body: Node) -> None:
     """Elements that a name alone speaks against count if they hold an article, or, in a page that
-    has none, over half of the text that isn't noise by tag; all within noise is noise."""
+    has none, over half of the text that isn't noise by tag (notices never by that); all within
+    noise is noise."""
     order, stack = [], [body]
     while stack:
         node = stack.pop()
@@ -134,8 +146,8 @@ def _settle(body: Node) -> None:
         chars[id(node)] = sum(len(x.strip()) for x in node.children if isinstance(x, str)) + sum(chars[id(x)] for x in inner)
         articles[id(node)] = node.tag in ("article", "main") or any(articles[id(x)] for x in inner)
     for node in order:
-        held = articles[id(node)] if articles[id(body)] else 2 * chars[id(node)] > chars[id(body)]
-        if node.noise == "name" and held:
+        held = articles[id(node)] if articles[id(body)] or node.noise == "notice" else 2 * chars[id(node)] > chars[id(body)]
+        if node.noise in ("name", "notice") and held:
             node.noise = ""
     stack = [(body, False)]
     while stack:

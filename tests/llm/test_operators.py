@@ -678,3 +678,34 @@ def test_oracles(spark):
         assert names == sorted(b.columns)
         key = lambda f: sorted(map(str, f[names].itertuples(index=False, name=None)))
         assert key(a) == key(b), name
+
+
+ARTICLE = "<p>" + "A sentence of the article, with words enough. " * 12 + "</p>"
+COMMENT = "<article class='{}'><p>" + "I liked this very much and say so at length. " * 8 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main><article>{a}</article><div id=comments class=comments-area>{c}</div></main>",
+        "<div><article>{a}</article><div id=comments class=comments-area>{c}</div></div>",
+        "<article>{a}<section class=comments>{c}</section></article>",
+        "<div><div>{a}</div><div id='disqus_thread'></div><div id=comments>{c}</div></div>",
+        "<article>{a}</article>{c}",
+    ],
+)
+def test_comments_are_no_text(page):
+    from corpusloom.llm.html_text import main_text
+
+    for name in ("comment", "comment-body", "comment byuser"):
+        got = main_text(page.format(a=ARTICLE, c=COMMENT.format(name) * 6))
+        assert "liked" not in got and got.startswith("A sentence of the article")
+
+
+def test_notices_are_no_text_unless_they_hold_an_article():
+    from corpusloom.llm.html_text import main_text
+
+    notice = "<div class=cookie-notice><p>" + "We use cookies for all. " * 30 + "</p></div>"
+    assert main_text(f"<body><div><h1>T</h1><p>Short text of the page, here.</p></div>{notice}</body>") == "T\nShort text of the page, here."
+    assert main_text(f"<body><div class=notice><article>{ARTICLE}</article></div></body>").startswith("A sentence")
+    assert main_text(notice) == ""
