@@ -684,6 +684,17 @@ def media_preconditions(orders):
     return orders.select("o_orderkey", fault.alias("fault"))
 
 
+@_query(
+    "orders",
+    sql="WITH a AS (SELECT o_orderkey, list_value('text', 'webpage', 'image', 'file', 'url')[1 + o_orderkey % 5] AS kind, o_orderkey % 2 = 0 AS has_text, o_orderkey % 3 = 0 AS has_html, o_orderkey % 7 < 3 AS has_ref FROM orders), e AS (SELECT *, CASE WHEN kind = 'text' AND NOT has_text THEN 'invalid_capture_envelope' WHEN kind = 'webpage' AND NOT has_html AND NOT has_text THEN 'invalid_capture_envelope' WHEN kind = 'webpage' AND (NOT has_html OR has_text OR has_ref) THEN 'unsupported_payload' WHEN kind IN ('file', 'url') THEN 'unsupported_payload' WHEN kind = 'image' AND (NOT has_ref OR has_text OR has_html) THEN 'unsupported_payload' END AS error FROM a) SELECT o_orderkey, error, CASE WHEN error IS NULL THEN CASE kind WHEN 'text' THEN 'text' WHEN 'webpage' THEN 'html' ELSE 'file_ref' END END AS material FROM e",
+)
+def intake_materials(orders):
+    k = F.col("o_orderkey")
+    kind = F.get(F.array(*map(F.lit, ("text", "webpage", "image", "file", "url"))), (k % 5).cast("int"))
+    told = validate.material(kind, F.when(k % 2 == 0, "t"), F.when(k % 3 == 0, "h"), F.when(k % 7 < 3, "r"))
+    return orders.select("o_orderkey", told["error"].alias("error"), told["material"].alias("material"))
+
+
 @_query(
     "orders",
     sql="SELECT o_orderkey, CASE k WHEN 0 THEN 'text@0.2' WHEN 1 THEN 'pdf-ocr@0.1' WHEN 2 THEN 'image-ocr@0.1' WHEN 3 THEN 'transcription@0.1' WHEN 4 THEN 'video-notes@0.1' WHEN 5 THEN 'captions@0.1' END AS processor, CASE k WHEN 6 THEN 'no_processor' END AS error, CASE WHEN k = 1 THEN 'ambiguous: pdf@0.1, pdf-ocr@0.1' WHEN k = 2 THEN 'ambiguous: image@0.1, image-ocr@0.1' WHEN k = 3 THEN 'ambiguous: audio@0.1, transcription@0.1' WHEN k = 4 THEN 'ambiguous: video@0.1, video-notes@0.1' WHEN k = 6 THEN 'no_processor' END AS with_all FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)",

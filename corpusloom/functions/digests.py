@@ -102,10 +102,44 @@ def audio_kind(content: Column) -> Column:
     return (
         F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57415645"), "audio/wav")
         .when(head.startswith("4F676753"), "audio/ogg")
-        .when(head.startswith("494433") | head.rlike("^FF[EF][23ABF]"), "audio/mpeg")
+        .when(head.startswith("494433") | head.rlike("^FF[EF]"), "audio/mpeg")
     )
 
 
+# fixed values: other names of audio types, those that tell nothing, the bytes of a sound or a film at
+# most, and the brands of films that are read
+AUDIO_ALIASES = {
+    "audio/x-wav": "audio/wav",
+    "audio/wave": "audio/wav",
+    "audio/vnd.wave": "audio/wav",
+    "audio/mp3": "audio/mpeg",
+    "application/ogg": "audio/ogg",
+    "audio/ogg; codecs=opus": "audio/ogg",
+}
+GENERIC_TYPES = ("", "application/octet-stream")
+AUDIO_BYTES = 32 * 1024 * 1024
+FILM_BRANDS = ("isom", "iso2", "mp41", "mp42", "avc1")
+
+
+def audio_error(content: Column, declared: Column) -> Column:
+    """null, or why a sound isn't taken: its size, its first bytes, or a declared type that isn't
+    what they tell. Types go by their aliases; a generic one leaves it to the bytes."""
+    size, kind = F.octet_length(content), audio_kind(content)
+    named = F.lower(F.trim(F.coalesce(declared, F.lit(""))))
+    table = F.create_map(*[F.lit(x) for pair in AUDIO_ALIASES.items() for x in pair])
+    told = F.coalesce(F.try_element_at(table, named), named)
+    return (
+        F.when(~F.coalesce(size.between(1, AUDIO_BYTES), F.lit(False)), "input_size_limit")
+        .when(kind.isNull(), "unsupported_format")
+        .when(~told.isin(*GENERIC_TYPES) & (told != kind), "mime_mismatch")
+    )
+
+
+def film_ok(content: Column) -> Column:
+    """One of a film's brands is among those that are read."""
+    return F.coalesce(F.arrays_overlap(mp4_brands(content), F.array(*map(F.lit, FILM_BRANDS))), F.lit(False))
+
+
 def mp4_brands(content: Column) -> Column:
     """The brands in an ftyp box of 16 to 64 bytes, a multiple of 4; null otherwise."""
     size = _number(content, 1, 4)

@@ -146,3 +146,25 @@ def media_precondition(kind: Column, wanted: str, raw_id: Column, ref: Column, m
         .when(mime.isNull(), "no_mime_type")
         .when(~mime.isin(*mimes), "mime_type_not_read")
     )
+
+
+def material(kind: Column, text: Column, html: Column, file_ref: Column, captions: bool = False) -> Column:
+    """struct(material, error): which field is a capture's one original, or why none is. Texts and
+    pages are inline, the others staged; a page's HTML stands alone, as one record keeps one
+    original, and a page of text isn't taken."""
+    staged = ("document", "image", "audio", "video", *(("file",) if captions else ()))
+    more = text.isNotNull() | file_ref.isNotNull()
+    error = (
+        F.when((kind == "text") & text.isNull(), "invalid_capture_envelope")
+        .when((kind == "webpage") & html.isNull() & text.isNull(), "invalid_capture_envelope")
+        .when((kind == "webpage") & (html.isNull() | more), "unsupported_payload")
+        .when(~F.coalesce(kind.isin("text", "webpage", *staged), F.lit(False)), "unsupported_payload")
+        .when(kind.isin(*staged) & (file_ref.isNull() | text.isNotNull() | html.isNotNull()), "unsupported_payload")
+    )
+    told = F.when(kind == "text", "text").when(kind == "webpage", "html").otherwise("file_ref")
+    return F.struct(F.when(error.isNull(), told).alias("material"), error.alias("error"))
+
+
+def ran_in_order(started_at: Column, completed_at: Column) -> Column:
+    """A run that ended didn't end before it began; one that has no end is in order."""
+    return F.coalesce(completed_at >= started_at, F.lit(True))

@@ -56,5 +56,7 @@ def _one_segment(df: DataFrame, kind: str, provenance: str, original: Column) ->
     )
 
 
-def capturable_pages(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    return pages.where(capturable(F.col(url_col)))
+def capturable_pages(pages: DataFrame, url_col: str = "url", html_col: str | None = None) -> DataFrame:
+    """The pages whose address may be captured and, if html_col is told, whose HTML isn't blank."""
+    fine = capturable(F.col(url_col))
+    return pages.where(fine if html_col is None else fine & ~is_blank(F.col(html_col)))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.digests import ref_error
+from corpusloom.operators.route import PROCESSORS
+from corpusloom.operators.validate import material
 from corpusloom.plans.contents import admitted, text_contents, web_contents
 from corpusloom.sources import raw_objects, snapshots, store
 
@@ -65,18 +67,20 @@ def _parts(captures: DataFrame, folder: str, base: snapshots.Version, readers: d
             captures = captures.join(known.select("id").distinct(), "id", "left_anti")
     ref = F.col("payload.file_ref")
     judged = admitted(captures, processors).withColumn("digest", F.when(ref_error(ref).isNull(), F.substring(ref, 8, 64)))
+    payload = [F.col(f"payload.{c}") for c in ("type", "text", "html", "file_ref")]
+    judged = judged.withColumn("_material", material(*payload, captions="captions@0.1" in (processors or PROCESSORS)))
     judged = raw_objects.present(judged, f"{folder}/raw")
     # written once: four tables are made of it
     work = f"{folder}/data/_judged/{uuid.uuid4().hex}"
     judged.write.parquet(work)
     judged = spark.read.schema(judged.schema).parquet(work)
-    material = F.coalesce("payload.text", "payload.html")
+    inline = F.when(F.col("_material.material") == "text", F.col("payload.text")).when(F.col("_material.material") == "html", F.col("payload.html"))
     unavailable = F.when(ref.isNotNull() & ~F.col("stored"), "capture_material_unavailable")
-    judged = judged.withColumn("route_error", F.coalesce("route_error", unavailable))
+    judged = judged.withColumn("route_error", F.coalesce("route_error", "_material.error", unavailable))
     refused = judged.where("size(errors) > 0 or route_error is not null")
     good = judged.where("size(errors) = 0 and route_error is null")
-    known = good.where(F.col("processor").isin(*readers)).where(material.isNotNull() | F.col("stored"))
-    store.put(known.where(material.isNotNull()).select(F.encode(material, "UTF-8").alias("content")), f"{folder}/raw")
+    known = good.where(F.col("processor").isin(*readers)).where(inline.isNotNull() | F.col("stored"))
+    store.put(known.where(inline.isNotNull()).select(F.encode(inline, "UTF-8").alias("content")), f"{folder}/raw")
     contents = None
     for name, read in readers.items():
         made = wide(read(known.where(F.col("processor") == name)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.digests import digest, ref_error
+from corpusloom.functions.digests import digest, raw_ref, ref_error
 from corpusloom.sources import raw_objects
 from corpusloom.sources.folders import exists  # noqa: F401
 
@@ -62,11 +62,21 @@ def replaced(table: DataFrame, updates: DataFrame, key: str, version: str) -> Da
     return table.unionByName(known).groupBy(key).agg(F.max_by(F.struct(*names), version).alias("_r")).select(key, "_r.*").select(*table.columns)
 
 
-def snapshot_fault(payload: Column, key: Column, versions: tuple[str, ...], id_path: str = "$.id", version_path: str = "$.schema_version") -> Column:
-    """null, or what is wrong with a stored JSON snapshot: missing, not_json, version or key."""
+def stage(files: DataFrame, path: str, content_col: str = "content", mime: Column | None = None) -> DataFrame:
+    """Stores the files' bytes, makes no capture of them, and returns the files without their
+    bytes but with raw, the reference by which a capture may name them."""
+    put(files.select(F.col(content_col).alias("content")), path)
+    return files.withColumn("raw", raw_ref(F.col(content_col), mime)).drop(content_col)
+
+
+def snapshot_fault(payload: Column, key: Column, versions: tuple[str, ...], id_path: str = "$.id", version_path: str = "$.schema_version", also: tuple[str, Column] | None = None) -> Column:
+    """null, or what is wrong with a stored JSON snapshot: missing, not_json, version, key, or
+    second_key (also: the path and the column of a second key that it is filed under)."""
+    second = F.lit(False) if also is None else ~F.get_json_object(payload, also[0]).eqNullSafe(also[1])
     return (
         F.when(payload.isNull(), "missing")
         .when(F.try_parse_json(payload).isNull(), "not_json")
         .when(~F.coalesce(F.get_json_object(payload, version_path).isin(*versions), F.lit(False)), "version")
         .when(~F.get_json_object(payload, id_path).eqNullSafe(key), "key")
+        .when(second, "second_key")
     )

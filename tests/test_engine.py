@@ -77,15 +77,16 @@ def test_table_functions(spark):
 
 def test_receiver_writes_once(spark, tmp_path):
     from corpusloom.functions.digests import file_name
-    from corpusloom.streaming.receiver import receive
+    from corpusloom.streaming.receiver import receive, table
 
     rows = spark.createDataFrame([("d1", "c1", "m"), ("d2", "c2", "n")], "delivery_id string, capture_id string, markdown string")
     good = rows.select("delivery_id", "capture_id", file_name(F.col("capture_id")).alias("name"), "markdown", F.sha2("markdown", 256).alias("sha256"))
     bad = good.withColumn("delivery_id", F.concat(F.lit("x"), "delivery_id")).withColumn("sha256", F.lit("0"))
-    for _ in range(2):
-        receive(good.union(bad), f"file://{tmp_path}/r")
-    assert spark.read.parquet(f"file://{tmp_path}/r/notes").count() == 2
-    assert spark.read.parquet(f"file://{tmp_path}/r/journal").count() == 2
+    for n in (0, 0, None):
+        receive(good.union(bad), f"file://{tmp_path}/r", "w", n)
+    receive(good.withColumn("markdown", F.lit("z")).withColumn("sha256", F.sha2(F.lit("z"), 256)), f"file://{tmp_path}/r")
+    assert {(r.delivery_id, r.markdown) for r in table(spark, f"file://{tmp_path}/r", "notes").collect()} == {("d1", "m"), ("d2", "n")}
+    assert table(spark, f"file://{tmp_path}/r", "journal").count() == 2
 
 
 def test_lease_stream(spark, tmp_path):
@@ -226,6 +227,13 @@ def test_ingest_is_one_version(spark, tmp_path, monkeypatch):
     assert refused.count() == refused.select("id").distinct().count()
 
 
+def test_ambiguous_pages_are_refused(spark, tmp_path):
+    folder, rows = f"file://{tmp_path}/lake", spark.createDataFrame([(1, "<p>a</p>", "x"), (2, "<p>a</p>", None)], "page_id long, html string, text string")
+    lifecycle.ingest(contents.envelopes(rows, F.col("page_id"), "webpage", html=F.col("html"), text=F.col("text")), folder)
+    assert [(r.id, r.route_error) for r in lifecycle.table(spark, folder, "refusals").collect()] == [("1", "unsupported_payload")]
+    assert [r.capture_id for r in lifecycle.table(spark, folder, "contents").collect()] == ["2"]
+
+
 def test_two_writers_one_wins(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 

@@ -135,3 +135,39 @@ def test_folders(spark, folder, ok):
     from corpusloom.operators.projections import folder_ok
 
     assert spark.createDataFrame([(folder,)], "f string").select(folder_ok(F.col("f"), ".settings")).first()[0] is ok
+
+
+def test_sounds_and_films(spark):
+    from corpusloom.functions import digests
+
+    wav, ogg, mp3 = b"RIFF0000WAVEfmt ", b"OggS" + b"x" * 12, b"\xff\xfb\x90\x00" + b"x" * 12
+    cases = [(wav, "audio/x-wav", None), (wav, " AUDIO/WAVE ", None), (wav, "", None), (wav, None, None), (wav, "audio/mpeg", "mime_mismatch"), (ogg, "audio/ogg; codecs=opus", None), (ogg, "application/ogg", None), (mp3, "audio/mp3", None), (b"\xff\xe2xx", "application/octet-stream", None), (b"\xff\x1f", "audio/mpeg", "unsupported_format"), (b"", "audio/wav", "input_size_limit"), (None, None, "input_size_limit")]
+    rows = spark.createDataFrame([(i, c, m) for i, (c, m, _) in enumerate(cases)], "i int, c binary, m string").select("i", digests.audio_error(F.col("c"), F.col("m")).alias("e")).collect()
+    assert [r.e for r in sorted(rows)] == [e for _, _, e in cases]
+    box = lambda size, *brands: size.to_bytes(4, "big") + b"ftyp" + brands[0] + b"0000" + b"".join(brands[1:])
+    films = [(box(20, b"xxxx", b"mp42"), True), (box(16, b"isom"), True), (box(20, b"xxxx", b"qt  "), False), (box(18, b"isom", b"mp42"), False), (b"", False), (None, False)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(films)], "i int, c binary").select("i", digests.film_ok(F.col("c")).alias("ok")).collect()
+    assert [r.ok for r in sorted(rows)] == [ok for _, ok in films]
+
+
+def test_materials_and_snapshots(spark, tmp_path):
+    from corpusloom.operators import validate
+    from corpusloom.sources import raw_objects, store
+
+    cases = [
+        (("text", "x", None, None), "text", None), (("text", None, None, None), None, "invalid_capture_envelope"), (("webpage", None, "<p>", None), "html", None), (("webpage", "x", "<p>", None), None, "unsupported_payload"),
+        (("webpage", None, "<p>", "r"), None, "unsupported_payload"), (("webpage", "x", None, None), None, "unsupported_payload"), (("webpage", None, None, None), None, "invalid_capture_envelope"), (("image", None, None, "r"), "file_ref", None),
+        (("image", "x", None, "r"), None, "unsupported_payload"), (("file", None, None, "r"), None, "unsupported_payload"), (("url", None, None, None), None, "unsupported_payload"), ((None, "x", None, None), None, "unsupported_payload"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _, _) in enumerate(cases)], "i int, kind string, text string, html string, ref string")
+    rows = sorted(df.select("i", validate.material(*[F.col(c) for c in ("kind", "text", "html", "ref")]).alias("m")).collect())
+    assert [(r.m.material, r.m.error) for r in rows] == [(m, e) for _, m, e in cases]
+    held = [('{"id":"a","source":{"capture_id":"c"},"schema_version":"0.3"}', "a", "c", None), ('{"id":"a","source":{"capture_id":"x"},"schema_version":"0.3"}', "a", "c", "second_key"), ('{"id":"b","schema_version":"0.3"}', "a", "c", "key"), ('{"id":"a","schema_version":"9"}', "a", "c", "version"), ("{", "a", "c", "not_json"), (None, "a", "c", "missing")]
+    df = spark.createDataFrame([(i, *h[:3]) for i, h in enumerate(held)], "i int, p string, id string, capture string")
+    fault = store.snapshot_fault(F.col("p"), F.col("id"), ("0.3",), also=("$.source.capture_id", F.col("capture")))
+    assert [r.f for r in sorted(df.select("i", fault.alias("f")).collect())] == [h[3] for h in held]
+    staged = store.stage(spark.createDataFrame([("n", b"bytes")], "name string, content binary"), f"file://{tmp_path}/raw", mime=F.lit("image/png"))
+    r = staged.first()
+    assert staged.columns == ["name", "raw"] and r.raw.mime_type == "image/png" and raw_objects.stored_among(f"file://{tmp_path}/raw", [r.raw.sha256]) == {r.raw.sha256}
+    times = spark.createDataFrame([(1, 2), (2, 1), (1, None)], "a int, z int")
+    assert [r[0] for r in times.select(validate.ran_in_order(F.col("a"), F.col("z"))).collect()] == [True, False, True]
