@@ -8,12 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions.digests import ref_error
 from corpusloom.operators.route import PROCESSORS
 from corpusloom.operators.validate import material
 from corpusloom.plans.contents import admitted, text_contents, web_contents
-from corpusloom.sources import raw_objects, snapshots, store
+from corpusloom.sources import folders, raw_objects, snapshots, store
 
 # fixed values: which state may follow which
 NEXT = {"received": ("stored",), "stored": ("processing",), "processing": ("complete", "failed")}
@@ -60,20 +61,22 @@ def ingest(captures: DataFrame, folder: str, writer: str | None = None, batch: i
 def _parts(captures: DataFrame, folder: str, base: snapshots.Version, readers: dict, processors: dict | None) -> dict[str, snapshots.Part]:
     """Writes the rows that a batch adds; {table: part}."""
     spark = captures.sparkSession
-    captures = captures.dropDuplicates(["id"])
-    for table in ("states", "refusals"):
-        known = snapshots.lookup(spark, folder, table, captures, "id", base)
-        if known is not None:
-            captures = captures.join(known.select("id").distinct(), "id", "left_anti")
     ref = F.col("payload.file_ref")
-    judged = admitted(captures, processors).withColumn("digest", F.when(ref_error(ref).isNull(), F.substring(ref, 8, 64)))
     payload = [F.col(f"payload.{c}") for c in ("type", "text", "html", "file_ref")]
+    judged = admitted(captures, processors).withColumn("digest", F.when(ref_error(ref).isNull(), F.substring(ref, 8, 64)))
     judged = judged.withColumn("_material", material(*payload, captions="captions@0.1" in (processors or PROCESSORS)))
-    judged = raw_objects.present(judged, f"{folder}/raw")
-    # written once: four tables are made of it
+    # written once, as it comes: texts needn't move to tell which captures are new
     work = f"{folder}/data/_judged/{uuid.uuid4().hex}"
-    judged.write.parquet(work)
-    judged = spark.read.schema(judged.schema).parquet(work)
+    judged.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(work)
+    judged = spark.read.schema(StructType([*judged.schema.fields, StructField("_row", LongType())])).parquet(work)
+    ids = judged.groupBy("id").agg(F.min("_row").alias("_row"))
+    for table in ("states", "refusals"):
+        known = snapshots.lookup(spark, folder, table, ids, "id", base)
+        if known is not None:
+            ids = ids.join(known.select("id").distinct(), "id", "left_anti")
+    gone = judged.select("_row").join(ids.select("_row"), "_row", "left_anti")
+    judged = judged.join(F.broadcast(gone) if folders.fits(gone) else gone, "_row", "left_anti").drop("_row")
+    judged = raw_objects.present(judged, f"{folder}/raw")
     inline = F.when(F.col("_material.material") == "text", F.col("payload.text")).when(F.col("_material.material") == "html", F.col("payload.html"))
     unavailable = F.when(ref.isNotNull() & ~F.col("stored"), "capture_material_unavailable")
     judged = judged.withColumn("route_error", F.coalesce("route_error", "_material.error", unavailable))
@@ -92,7 +95,9 @@ def _parts(captures: DataFrame, folder: str, base: snapshots.Version, readers: d
     states = states.union(_states(ended, F.when(F.col("_has"), "complete").otherwise("failed"), 3, F.when(~F.col("_has"), F.coalesce("_error", F.lit("processing_failed")))))
     out["states"] = snapshots.part(states, folder, "states", "id")
     told = refused.select("id", F.to_json("errors").alias("errors"), F.col("route_error").cast("string").alias("route_error"))
-    return out | {"refusals": snapshots.part(told, folder, "refusals", "id")}
+    out["refusals"] = snapshots.part(told, folder, "refusals", "id")
+    folders.remove(spark, work)
+    return out
 
 
 def table(spark: SparkSession, folder: str, name: str, ids: DataFrame | None = None) -> DataFrame | None:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -53,6 +53,20 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
         system.delete(made, False)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a few numbers or digests up to which a table is broadcast (about 20 MB).
+BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """True if df has at most that many rows; looks at no more than it needs to."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir, or, where that is unset and all runs on one machine, in
     a temporary folder."""

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from corpusloom.sources.folders import fits
+
 NAME = "raw_objects"
 #: Digits of a shard's name, digits of digests in the name of a file.
 WIDTH, RANGE = 2, 16
@@ -159,7 +161,7 @@ class _Writer(DataSourceArrowWriter):
         system, root = _place(self.path)
         system.create_dir(f"{root}/_staged/{self.run}")
         made, kind = [], pa.schema([("digest", pa.string()), ("shard", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
-        out = held = None
+        out = held = last = None
 
         def close():
             if out is not None:
@@ -179,10 +181,14 @@ class _Writer(DataSourceArrowWriter):
                     listed = {shard: _files(system, root, shard)}
                 mine = rows.filter(pc.equal(pc.utf8_slice_codeunits(rows["digest"], 0, WIDTH), shard))
                 held = _among(system, listed[shard], mine["digest"].to_pylist())
-                names = [d for d in mine["digest"].to_pylist() if d not in held]
+                # in order, so equal ones are neighbours, in the batch before too
+                own = mine["digest"].to_pylist()
+                new = [d not in held and d != before for d, before in zip(own, [last, *own], strict=False)]
+                last = own[-1]
+                names = [d for d, n in zip(own, new, strict=True) if n]
                 if not names:
                     continue
-                mine = mine.filter(pc.is_in(mine["digest"], pa.array(names)))
+                mine = mine.filter(pa.array(new))
                 if out is None or out["shard"] != shard:
                     close()
                     path = f"{root}/_staged/{self.run}/{uuid.uuid4().hex}.parquet"
@@ -238,10 +244,34 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Digests that a task remembers of what it has sent on.
+REMEMBERED = 200_000
+
+
+def thinned(rows: DataFrame) -> DataFrame:
+    """rows (digest, content) without those that a task has had already, before they are moved: of
+    an object that many rows have, few go on. A task that has seen too many forgets and
+    begins anew, so what goes on may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            keep = []
+            for d in batch.column(0).to_pylist():
+                keep.append(d not in seen)
+                seen.add(d)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
+    return rows.select("digest", "content").mapInArrow(run, "digest string, content binary")
+
+
 def put(objects: DataFrame, path: str) -> None:
-    """Stores objects (digest, shard, content); each shard goes through one task, in order."""
+    """Stores objects (digest, content), which may repeat; each shard goes through one task, in
+    order, so contents move once."""
     register(objects.sparkSession)
-    dealt = objects.select("digest", F.substring("digest", 1, WIDTH).alias("shard"), "content").repartition("shard").sortWithinPartitions("digest")
+    dealt = thinned(objects).withColumn("shard", F.substring("digest", 1, WIDTH)).repartition("shard").sortWithinPartitions("digest")
     dealt.write.format(NAME).mode("append").save(path)
 
 
@@ -259,7 +289,8 @@ def present(refs: DataFrame, path: str, digest_col: str = "digest") -> DataFrame
 
     asked = refs.select(F.col(digest_col).alias("_d")).where("_d is not null").distinct().repartition(F.substring("_d", 1, WIDTH)).sortWithinPartitions("_d")
     told = asked.mapInArrow(run, "_d string, stored boolean")
-    return refs.join(told, F.col(digest_col) == F.col("_d"), "left").withColumn("stored", F.coalesce("stored", F.lit(False))).drop("_d")
+    # one row for a digest, and none where nothing is asked for: mostly few
+    return refs.join(F.broadcast(told) if fits(told) else told, F.col(digest_col) == F.col("_d"), "left").withColumn("stored", F.coalesce("stored", F.lit(False))).drop("_d")
 
 
 def contents_of(refs: DataFrame, path: str, digest_col: str = "digest") -> DataFrame:

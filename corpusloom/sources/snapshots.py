@@ -75,7 +75,7 @@ def part(rows: DataFrame, folder: str, table: str, key: str) -> Part:
     """Writes rows where no version names them yet."""
     name = f"data/{table}/snapshot_part={uuid.uuid4().hex}"
     dealt = rows.withColumn("bucket", bucket(F.col(key))).repartition("bucket").sortWithinPartitions("bucket", key)
-    dealt.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{folder}/{name}")
+    dealt.write.partitionBy("bucket").option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{folder}/{name}")
     return Part(name, rows.schema.json())
 
 
@@ -139,6 +139,5 @@ def vacuum(spark: SparkSession, folder: str, keep: int = 10) -> list[str]:
     gone = [f"data/{t}/{p}" for t in folders.names(spark, f"{folder}/data") for p in folders.names(spark, f"{folder}/data/{t}")]
     gone = [p for p in gone if p not in named] + [f"versions/{x}" for x in folders.names(spark, f"{folder}/versions") if x.endswith(".json") and int(x[:-5]) < (stay[0].number if stay else 0)]
     for p in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        folders.remove(spark, f"{folder}/{p}")
     return gone

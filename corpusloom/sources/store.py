@@ -26,7 +26,7 @@ def copies(content: DataFrame, id_col: str, content_col: str) -> DataFrame:
 def put(content: DataFrame, path: str, content_col: str = "content") -> None:
     """Adds what the store doesn't have; what is there wins. Only the shards of the batch are
     looked at."""
-    raw_objects.put(objects(content, content_col), path)
+    raw_objects.put(content.select(digest(F.col(content_col)).alias("digest"), F.col(content_col).alias("content")).where("content is not null"), path)
 
 
 def get(spark: SparkSession, path: str, *refs: str) -> DataFrame:
