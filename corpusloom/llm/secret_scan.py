@@ -128,15 +128,16 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     there is one before the next key begins."""
     if not ANY.search(text):
         return
-    at, closes = 0, True
+    at = 0
     while m := CANDIDATE.search(text, at):
         kind = m.lastgroup
         start, end = m.span(kind)
         at = m.end()
-        if kind == "private_key" and closes:
-            closing = KEY_END.search(text, at)
-            closes = closing is not None
-            if closes and text.find("-----BEGIN", at, closing.start()) < 0:
+        if kind == "private_key":
+            # no key is looked for beyond the next one's begin, so the text is passed once
+            following = text.find("-----BEGIN", at)
+            closing = KEY_END.search(text, at, following if following >= 0 else len(text))
+            if closing is not None:
                 at = end = closing.end()
         if kind != "run" or not _plain(text[start:end]):
             yield start, end, kind

@@ -709,3 +709,17 @@ def test_notices_are_no_text_unless_they_hold_an_article():
     assert main_text(f"<body><div><h1>T</h1><p>Short text of the page, here.</p></div>{notice}</body>") == "T\nShort text of the page, here."
     assert main_text(f"<body><div class=notice><article>{ARTICLE}</article></div></body>").startswith("A sentence")
     assert main_text(notice) == ""
+
+
+def test_many_keys_take_linear_time():
+    import time
+
+    from corpusloom.llm.secret_scan import candidates
+
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"
+    began = time.time()
+    found = list(candidates(begin * 80_000 + end))
+    assert time.time() - began < 10 and sum(kind == "private_key" for _, _, kind in found) == 80_000
+    text = begin + "abc\n" + end + begin + "x\n" + begin + "y\n" + end
+    spans = [text[a:z] for a, z, kind in candidates(text) if kind == "private_key"]
+    assert len(spans) == 3 and spans[0].rstrip().endswith(end.strip()) and "END" not in spans[1] and spans[2].rstrip().endswith(end.strip())
