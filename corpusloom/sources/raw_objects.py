@@ -23,14 +23,17 @@ import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from corpusloom.sources.folders import fits
 
+if TYPE_CHECKING:  # Spark plans a source in several small processes of the driver, which needn't load it
+    import pyarrow as pa
+
 NAME = "raw_objects"
 #: Digits of a shard's name, digits of digests in the name of a file.
 WIDTH, RANGE = 2, 16
@@ -56,6 +59,7 @@ def _files(system, root: str, shard: str) -> list[tuple[str, str, str]]:
 def _among(system, files, digests: list[str]):
     """Which of the sorted digests the files hold; their digest columns alone are read, where
     they may hold one."""
+    import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
@@ -118,6 +122,7 @@ class _Reader(DataSourceReader):
         return out or [_Part("", [], [])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
@@ -155,6 +160,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         """The task's rows come sorted by digest."""
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
@@ -254,6 +260,8 @@ def thinned(rows: DataFrame) -> DataFrame:
     begins anew, so what goes on may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         seen: set[str] = set()
         for batch in batches:
             keep = []
@@ -283,6 +291,8 @@ def present(refs: DataFrame, path: str, digest_col: str = "digest") -> DataFrame
     """refs with stored; each task opens the shards of its digests alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         for batch in batches:
             held = stored_among(path, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d in held for d in batch.column(0).to_pylist()])], names=["_d", "stored"])
