@@ -277,10 +277,23 @@ def thinned(rows: DataFrame) -> DataFrame:
 
 def put(objects: DataFrame, path: str) -> None:
     """Stores objects (digest, content), which may repeat; each shard goes through one task, in
-    order, so contents move once."""
-    register(objects.sparkSession)
+    order, so contents move once. The same two phases as a write of the format; as the tasks' files
+    (a few for each shard) are told by rows, the driver plans no source for it."""
+    writer = _Writer(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        made = writer.write(batches).files
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in made], pa.string()) for i in (0, 1)], names=["staged", "final"])
+
     dealt = thinned(objects).withColumn("shard", F.substring("digest", 1, WIDTH)).repartition("shard").sortWithinPartitions("digest")
-    dealt.write.format(NAME).mode("append").save(path)
+    try:
+        made = dealt.mapInArrow(run, "staged string, final string").collect()
+    except Exception:
+        writer.abort([])
+        raise
+    writer.commit([_Written([tuple(r) for r in made])])
 
 
 def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:

@@ -90,6 +90,14 @@ def test_two_writers_store_once_for_readers(spark, path, tmp_path):
     assert raw_objects.scan(spark, path).count() == 300 == raw_objects.scan(spark, path).select("digest").distinct().count()
 
 
+def test_written_by_the_format(spark, path, tmp_path):
+    rows = spark.createDataFrame([(_digest(t), t.encode()) for t in ("text 3", "written", "again")], "digest string, content binary")
+    for _ in range(2):
+        rows.repartition(F.substring("digest", 1, 2)).sortWithinPartitions("digest").write.format(raw_objects.NAME).mode("append").save(path)
+    assert raw_objects.scan(spark, path).count() == 302 and store.get(spark, path, _digest("written")).count() == 1
+    assert not list(pathlib.Path(tmp_path, "raw", "_staged").rglob("*.parquet"))
+
+
 def test_empty_and_refused(spark, tmp_path):
     path = f"{tmp_path}/none"
     assert raw_objects.scan(spark, path).count() == 0 and raw_objects.stored_among(path, ["0" * 64]) == set()
