@@ -670,7 +670,7 @@ def test_oracles(spark):
     from corpusloom.llm import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in catalog.oracle_sql().items():
         a, b = catalog.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(sql).df()
