@@ -38,10 +38,11 @@ def text_contents(captures: DataFrame) -> DataFrame:
     return _one_segment(captures.withColumn("_text", F.col("payload.text")).withColumn("_title", F.col("payload.title")), "text", "original", F.col("payload.text"))
 
 
-def web_contents(captures: DataFrame) -> DataFrame:
+def web_contents(captures: DataFrame, closed: bool = False) -> DataFrame:
     """A segment with the page's visible text; the submitted title before the page's own. Pages
-    without visible text are an error of processing, not an empty document."""
-    read = visible_html.read(captures, "payload", "html", text="_text", title="_found").withColumn("_title", F.coalesce("payload.title", "_found"))
+    without visible text are an error of processing, not an empty document. closed: references
+    count with their semicolon only."""
+    read = visible_html.read(captures, "payload", "html", text="_text", title="_found", closed=closed).withColumn("_title", F.coalesce("payload.title", "_found"))
     return _one_segment(read, "web", "html", F.col("payload.html"))
 
 
