@@ -2,7 +2,8 @@
 
 The rows of a key are cut into ranges of their order (of time, for instance). Within a range, a
 window adds up; before it stands the total of the ranges before, which a window over one row for
-each range gives. Totals and rows are dealt alike, so the rows move once.
+each range gives. Totals and rows are dealt alike, so the rows move once; the window comes before the
+join, whose order its sort has already, so a task sorts them once.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ def running(rows: DataFrame, key: list[str], order: list[str], part: Column, bef
     past = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = own.select(*key, "_part", *[_KINDS[kind][0](f"_t_{name}").over(past).alias(f"_b_{name}") for name, (kind, _) in measures.items()])
     here = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    df = df.join(base, [*key, "_part"])
-    out = {name: _KINDS[kind][1](F.col(f"_b_{name}"), _KINDS[kind][0](c).over(here)) for name, (kind, c) in measures.items()}
+    own = {f"_o_{name}": _KINDS[kind][0](c).over(here) for name, (kind, c) in measures.items()}
+    df = df.withColumns(own).join(base.hint("merge"), [*key, "_part"])
+    out = {name: _KINDS[kind][1](F.col(f"_b_{name}"), F.col(f"_o_{name}")) for name, (kind, _) in measures.items()}
     return df.withColumns(out).select(*rows.columns, *measures)
 
 
