@@ -30,14 +30,15 @@ def submission_outcome(status: Column, same_id: Column, has_error: Column) -> Co
 
 def attachments(deliveries: DataFrame, assets: DataFrame, stored: DataFrame, most: int | None = None) -> DataFrame:
     """assets (delivery_id, digest, size) of the deliveries with fault: too_many (where a delivery
-    has over `most`), missing, size, digest (if stored has content, it is hashed again) or null."""
+    has over `most`), missing, size, digest (if stored has content, it is hashed again) or null. All
+    sides grow alike, so they are shuffled, none goes through the driver."""
     digest = F.when(F.col("content").isNotNull(), F.sha2("content", 256)) if "content" in stored.columns else F.lit(None).cast("string")
     known = stored.select("digest", F.col("length").alias("_length"), digest.alias("_again"))
-    joined = deliveries.select("delivery_id").join(assets, "delivery_id").join(known, "digest", "left")
+    joined = deliveries.select("delivery_id").join(assets.hint("merge"), "delivery_id").join(known.hint("merge"), "digest", "left")
     fault = F.when(F.col("_length").isNull(), "missing").when(F.col("_length") != F.col("size"), "size").when(F.col("_again") != F.col("digest").cast("string"), "digest")
     if most is not None:
         counts = assets.groupBy("delivery_id").agg(F.count("*").alias("_n"))
-        joined = joined.join(counts, "delivery_id")
+        joined = joined.join(counts.hint("merge"), "delivery_id")
         fault = F.when(F.col("_n") > most, "too_many").otherwise(fault)
     return joined.withColumn("fault", fault).drop("_length", "_again", "_n")
 

@@ -1,14 +1,23 @@
 """What a task has to sort, and what passes through the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.operators import running
 
+SF = "/root/testdata/sf0.001"
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["frame_attachments", "delivery_attachments"])
+def test_nothing_is_broadcast(spark, name):
+    assert "Broadcast" not in _plan(catalog.queries()[name](spark, SF))
+
+
 def test_ranges_are_sorted_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
