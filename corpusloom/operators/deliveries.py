@@ -75,7 +75,9 @@ def keyframes(assets: Column, segments: Column) -> Column:
 
 
 def table_rows(cells: DataFrame, key: list[str], table: str, row: str, text: str) -> DataFrame:
-    """Adds table_index and row_index (from 0), counted before blank rows are left out."""
+    """Adds table_index and row_index (from 0), counted before blank rows are left out. The rows are
+    sorted once for both, so a task holds one sort."""
+    cells = cells.repartition(*key).sortWithinPartitions(*key, table, row)
     df = cells.withColumn("table_index", F.dense_rank().over(Window.partitionBy(*key).orderBy(table)) - 1)
     df = df.withColumn("row_index", F.dense_rank().over(Window.partitionBy(*key, table).orderBy(row)) - 1)
     return df.where(~is_blank(F.col(text)))

@@ -18,6 +18,10 @@ def test_nothing_is_broadcast(spark, name):
     assert "Broadcast" not in _plan(catalog.queries()[name](spark, SF))
 
 
+def test_tables_are_sorted_once(spark):
+    assert _plan(catalog.queries()["table_numbering"](spark, SF)).count("Sort [") == 1
+
+
 def test_ranges_are_sorted_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
