@@ -37,8 +37,16 @@ if TYPE_CHECKING:  # Spark plans a source in several small processes of the driv
 NAME = "raw_objects"
 #: Digits of a shard's name, digits of digests in the name of a file.
 WIDTH, RANGE = 2, 16
-#: Bytes of contents of a row group.
-GROUP = 64 << 20
+#: Bytes of contents of a row group, and of what a task takes of a batch at a time.
+GROUP = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about GROUP bytes, so that copies of a part, not of a whole batch, are held."""
+    for batch in batches:
+        step = max(1, len(batch) * GROUP // max(1, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
 
 
 def _place(path: str):
@@ -176,7 +184,7 @@ class _Writer(DataSourceArrowWriter):
                 made.append((out["path"], f"{root}/objects/{out['shard']}/{name}"))
 
         listed: dict[str, list] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.select(["digest", "content"])
             digests = rows["digest"].to_pylist()
             for d, c in zip(digests, rows["content"], strict=True):
@@ -263,7 +271,7 @@ def thinned(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         seen: set[str] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for d in batch.column(0).to_pylist():
                 keep.append(d not in seen)

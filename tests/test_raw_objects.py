@@ -108,3 +108,12 @@ def test_empty_and_refused(spark, tmp_path):
     with pytest.raises(Exception, match="never replaced"):
         raw_objects.scan(spark, path).select("digest", "content").write.format(raw_objects.NAME).mode("overwrite").save(path)
     assert os.path.isdir(f"{path}/objects")
+
+
+def test_batches_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(raw_objects, "GROUP", 1000)
+    batch = pa.RecordBatch.from_pydict({"digest": [str(i) for i in range(50)], "content": [b"x" * 100] * 50})
+    cut = list(raw_objects.slices(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(cut) == pa.Table.from_batches([batch]) and max(x.nbytes for x in cut) <= 1000
