@@ -32,14 +32,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def portions(rows, texts: pa.Array):
-    """rows (a batch or an array) in slices of about PORTION bytes of the texts beside them."""
+def portions(rows, texts: pa.Array, size: int | None = None):
+    """rows (a batch or an array) in slices of about size (PORTION) bytes of the texts beside them."""
     import numpy as np
 
     chars = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(chars, (chars[a - 1] if a else 0) + PORTION, "right")))
+        b = max(a + 1, int(np.searchsorted(chars, (chars[a - 1] if a else 0) + (size or PORTION), "right")))
         yield rows.slice(a, b - a)
         a = b
 

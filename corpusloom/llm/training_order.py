@@ -34,6 +34,8 @@ SHARD_RECORDS = 32768
 ROUNDS = 6
 #: What stands for a null id in a record.
 NO_ID = -(1 << 63)
+#: Bytes of text whose sequences a task makes at a time; they take many times that memory.
+PORTION = 2 << 20
 #: Tasks that write shards, at most; beyond, each writes several.
 WRITERS = 20_000
 
@@ -90,7 +92,7 @@ def _records(docs: DataFrame, path: str, length: int, first, n: int, key: int, s
         at = int(np.searchsorted(tasks, task := TaskContext.get().partitionId()))
         index, count = (int(indices[at]), int(counts[at])) if at < len(tasks) and tasks[at] == task else (0, 0)
         for whole in batches:
-            for batch in portions(whole, whole.column(1)):
+            for batch in portions(whole, whole.column(1), PORTION):
                 ids, bounds = own.encode_all(batch.column(1))
                 n_ids = np.diff(bounds)
                 parts = -(-n_ids // length)
@@ -122,7 +124,7 @@ def _counted(docs: DataFrame, path: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = encoder(path), 0
         for whole in batches:
-            for batch in portions(whole, whole.column(1)):
+            for batch in portions(whole, whole.column(1), PORTION):
                 n += int((-(-np.diff(own.encode_all(batch.column(1))[1]) // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["task", "n"])
 
@@ -173,7 +175,7 @@ def read(spark: SparkSession, folder: str, path: str | None = None, length: int
         layout = _layout(path, length)
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block = np.frombuffer(content.as_py(), layout)
+                block = np.frombuffer(content.as_buffer(), layout)
                 if (block["end"] != 10).any():
                     raise ValueError(f"shard {shard} has a broken record")
                 skip = max(0, start - shard * shard_records)
