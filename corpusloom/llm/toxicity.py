@@ -40,12 +40,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm._shared import delete, fits, stored
+from corpusloom.llm.tokens import portions
 
 ORDER, LOW, CUTOFF = 7, 2, 2
 SHARED, MIXED = 1.0, 0.01
 MAX_TUNE = 20_000
 #: Entries (of 12 bytes) of models that are broadcast, and labels (ids and a number) that are.
 BROADCAST_GRAMS, BROADCAST_LABELS = 8_000_000, 500_000
+#: Bytes of text whose words a task takes at a time; they take many times that memory.
+PORTION = 2 << 20
 #: Log-likelihoods are whole numbers of this part.
 UNIT = 1 << 20
 NO_WORD = r"[^\pL\pN]+"
@@ -113,7 +116,7 @@ def counted_words(docs: DataFrame) -> DataFrame:
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, whole.column(0), PORTION)):
             rows, codes, words = words_of(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False)[rows] == 1
             n = [np.bincount(codes[m], minlength=len(words)) for m in (toxic, ~toxic)]
@@ -276,7 +279,7 @@ def statistic(docs: DataFrame, model: DataFrame | None, kept=None) -> DataFrame:
     if kept is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole, whole.column(0), PORTION)):
                 rows, codes, words = words_of(batch.column(0))
                 gain = gained(ratios(words, *kept.value))
                 total, n = np.bincount(rows, gain[codes], minlength=batch.num_rows), np.bincount(rows, minlength=batch.num_rows)
@@ -286,7 +289,7 @@ def statistic(docs: DataFrame, model: DataFrame | None, kept=None) -> DataFrame:
         return docs.select("text", *others).mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in others], "x double"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, whole.column(1), PORTION)):
             rows, codes, words = words_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), words.take(pa.array(codes))], names=["row", "word"])
 
